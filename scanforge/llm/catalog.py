@@ -30,15 +30,49 @@ def op1_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import archive_pages
+
+    return archive_pages(table(spark, sf_dir, "pages"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import digests
 
     return digests(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack, token_pieces
+
+    return pack(token_pieces(table(spark, sf_dir, "documents"), vocabulary()))
+
+
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import near_groups
+
+    found = near_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_reshard": op1_reshard, "op6_bpe": op6_bpe}
+    return {"op1_reshard": op1_reshard, "op4_warc": op4_warc, "op6_bpe": op6_bpe, "op7_pack": op7_pack, "op9_simhash": op9_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_warc": OP4}
+
+
+#: Equal payloads of 100 bytes or more: the smallest page_id is the response.
+OP4 = """
+with own as (
+  select page_id, encode(coalesce(html, '')) as raw from pages),
+sized as (
+  select page_id, octet_length(raw)::bigint as payload_bytes, sha256(raw) as payload_digest from own),
+firsts as (
+  select payload_digest, min(page_id) as first_id from sized where payload_bytes >= 100 group by 1)
+select s.page_id, s.payload_bytes, s.payload_digest,
+  case when f.first_id is null or f.first_id = s.page_id then 'response' else 'revisit' end as record_type,
+  case when f.first_id <> s.page_id then f.first_id end as refers_to
+from sized s left join firsts f on s.payload_digest = f.payload_digest
+"""
