@@ -36,6 +36,12 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_pages(table(spark, sf_dir, "pages"))
 
 
+def op5_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pivots import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import digests
 
@@ -56,11 +62,11 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_reshard": op1_reshard, "op4_warc": op4_warc, "op6_bpe": op6_bpe, "op7_pack": op7_pack, "op9_simhash": op9_simhash}
+    return {"op1_reshard": op1_reshard, "op4_warc": op4_warc, "op5_pivots": op5_pivots, "op6_bpe": op6_bpe, "op7_pack": op7_pack, "op9_simhash": op9_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc": OP4}
+    return {"op4_warc": OP4, "op5_pivots": OP5}
 
 
 #: Equal payloads of 100 bytes or more: the smallest page_id is the response.
@@ -76,3 +82,24 @@ select s.page_id, s.payload_bytes, s.payload_digest,
   case when f.first_id <> s.page_id then f.first_id end as refers_to
 from sized s left join firsts f on s.payload_digest = f.payload_digest
 """
+
+#: Links by brute force within labels, components by reachability.
+OP5 = """
+with recursive v as (
+  select vec_id, label, list_transform(embedding, lambda x: x::double) as e from embeddings
+  where label is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0
+    and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+link as (
+  select a.vec_id as a, b.vec_id as b from v a join v b on a.label = b.label and a.vec_id <> b.vec_id
+  where list_cosine_similarity(a.e, b.e) >= 0.98),
+reach as (
+  select distinct a, b from link
+  union
+  select r.a, l.b from reach r join link l on r.b = l.a),
+degree as (select a, count(*) as n from link group by a),
+low as (select a, min(b) as b from reach group by a)
+select e.vec_id, coalesce(d.n, 0)::bigint as n_links, least(e.vec_id, coalesce(w.b, e.vec_id)) as component_id,
+  e.vec_id = least(e.vec_id, coalesce(w.b, e.vec_id)) as kept
+from embeddings e left join degree d on d.a = e.vec_id left join low w on w.a = e.vec_id
+"""
