@@ -30,6 +30,24 @@ def op1_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import say, scan
+
+    found = scan(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    base = F.filter("spans", lambda s: s["kind"] < 3)
+    count = lambda test: F.size(F.filter("spans", test)).cast("long")
+    return found.select(
+        "doc_id",
+        count(lambda s: s["kind"] == 0).alias("n_assign"),
+        count(lambda s: s["kind"] == 1).alias("n_access"),
+        count(lambda s: s["kind"] == 2).alias("n_hex"),
+        F.sha2(say(base).cast("binary"), 256).alias("base_sha256"),
+        say(F.col("spans")).alias("spans"),
+        count(lambda s: s["live"]).alias("n_live"),
+        count(lambda s: ~s["live"]).alias("n_example"),
+    )
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import archive_pages
 
@@ -54,6 +72,14 @@ def op7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(token_pieces(table(spark, sf_dir, "documents"), vocabulary()))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import fit, held_out, score
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = score(docs, fit(docs, table(spark, sf_dir, "labels")))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_groups
 
@@ -61,8 +87,14 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op10_omh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .omh import fingerprints
+
+    return fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_reshard": op1_reshard, "op4_warc": op4_warc, "op5_pivots": op5_pivots, "op6_bpe": op6_bpe, "op7_pack": op7_pack, "op9_simhash": op9_simhash}
+    return {"op1_reshard": op1_reshard, "op2_secrets": op2_secrets, "op4_warc": op4_warc, "op5_pivots": op5_pivots, "op6_bpe": op6_bpe, "op7_pack": op7_pack, "op8_toxicity": op8_toxicity, "op9_simhash": op9_simhash, "op10_omh": op10_omh}
 
 
 def oracle_sql() -> dict[str, str]:
