@@ -28,7 +28,8 @@ from pyspark.sql import types as T
 from .bpe import LETTER, NUMBER, blocks, char_kinds
 
 SAMPLE, LONGEST = 800, 30_000
-WINDOW, STRIDE, HIDDEN, EMBED, BUCKETS = 32, 24, 8, 8, 1 << 15
+WINDOW, STRIDE, HIDDEN, EMBED, BUCKETS = 32, 24, 8, 8, 1 << 18
+STEPS, TURN, BATCH, LEAST_TEXTS = 240, 20, 128, 4
 GRAMS = (3, 4, 5)
 _mix = np.random.default_rng(8).integers(1, 1 << 62, 64, np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -105,7 +106,7 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 def start(seed: int = 1) -> dict:
     r, h = np.random.default_rng(seed), HIDDEN
     draw = lambda *s, k=0.1: (r.standard_normal(s) * k).astype(np.float32)
-    return {"word": draw(BUCKETS, EMBED), "gram": draw(BUCKETS, EMBED, k=0.2), "in": draw(2, 2 * EMBED, 3 * h, k=0.4), "in_b": np.zeros((2, 1, 3 * h), np.float32), "rec": draw(2, h, 3 * h, k=0.3), "att": draw(2 * h, h, k=0.3), "att_v": draw(h, k=0.5), "out": draw(2 * h, k=0.5), "out_b": np.zeros(1, np.float32)}
+    return {"word": np.zeros((BUCKETS, EMBED), np.float32), "gram": np.zeros((BUCKETS, EMBED), np.float32), "in": draw(2, 2 * EMBED, 3 * h, k=0.4), "in_b": np.zeros((2, 1, 3 * h), np.float32), "rec": draw(2, h, 3 * h, k=0.3), "att": draw(2 * h, h, k=0.3), "att_v": draw(h, k=0.5), "out": draw(2 * h, k=0.5), "out_b": np.zeros(1, np.float32)}
 
 
 def forward(p: dict, gates: np.ndarray, at: np.ndarray, keep: bool = False):
@@ -197,6 +198,8 @@ class Adam:
         fix = self.rate * np.sqrt(1 - 0.999**self.n) / (1 - 0.9**self.n)
         for k, d in g.items():
             if isinstance(d, tuple):
+                if not len(d[0]):
+                    continue
                 rows, back = np.unique(d[0], return_inverse=True)
                 order = np.argsort(back, kind="stable")
                 d = np.add.reduceat(d[1][order], np.searchsorted(back[order], np.arange(len(rows))), axis=0)
@@ -223,39 +226,67 @@ def highest(p: dict, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return best, first[np.searchsorted(text[first], np.arange(len(texts)))]
 
 
-def train(texts: list[str], label: np.ndarray, rounds: int = 10, seed: int = 1) -> dict:
+def train(texts: list[str], label: np.ndarray, steps: int = STEPS, seed: int = 1) -> dict:
     """Fit the network; ``scale`` and ``shift`` turn a logit into the final one."""
     r = np.random.default_rng(seed)
     order = r.permutation(len(texts))
-    aside = order[: len(order) // 5]
-    own = order[len(order) // 5 :]
+    aside, own = order[: len(order) // 5], order[len(order) // 5 :]
     p = start(seed)
     adam = Adam(p, 0.01)
     y = label.astype(np.float32)
+    kinds = [np.flatnonzero(y[own] == k) for k in (0, 1)]
     held = Features([texts[i] for i in own])
     at, text = held.windows()
     starts = np.searchsorted(text, np.arange(len(own)))
     many = np.diff(np.r_[starts, len(text)])
-    for turn in range(rounds):
-        if turn < 4:
-            pick = starts + (r.random(len(own)) * many).astype(np.int64)
-        else:
+    known = frequent(held, starts_of=np.r_[0, held.text_cut])
+    best: tuple[float, dict] | None = None
+    for step in range(steps):
+        if step >= steps // 2 and step % TURN == 0:
+            best = better(p, [texts[i] for i in aside], y[aside], best)
+        if step >= steps // 4 and step % TURN == 0:
             logit = window_logits(p, held, at)
-            best = np.maximum.reduceat(logit, starts)
-            first = np.flatnonzero(logit == best[text])
-            pick = first[np.searchsorted(text[first], np.arange(len(own)))]
-        for low in range(0, len(own), 128):
-            some = r.permutation(len(own))[:128]
-            rows = at[pick[some]]
-            distinct, back = np.unique(rows, return_inverse=True)
-            off = int(distinct[0] < 0)
-            part = subset(held, distinct[off:])
-            local = back.reshape(rows.shape) - off
-            x = part.inputs(p).astype(np.float32)
-            logit, kept = forward(p, gates_of(p, x), local, True)
-            d = (sigmoid(logit) - y[own[some]]) / len(some)
-            adam.step(backward(p, part, x, local, kept, d.astype(np.float32)))
-    return p | scale(highest(p, [texts[i] for i in aside])[0], y[aside])
+            first = np.flatnonzero(logit == np.maximum.reduceat(logit, starts)[text])
+            top = first[np.searchsorted(text[first], np.arange(len(own)))]
+        elif step < steps // 4:
+            top = starts + (r.random(len(own)) * many).astype(np.int64)
+        some = np.concatenate([r.choice(k, BATCH // 2) for k in kinds if len(k)])
+        # of clean texts also windows that are not the highest
+        any_ = starts + (r.random(len(own)) * many).astype(np.int64)
+        pick = np.where((y[own[some]] == 0) & (r.random(len(some)) < 0.3), any_[some], top[some])
+        rows = at[pick]
+        distinct, back = np.unique(rows, return_inverse=True)
+        off = int(distinct[0] < 0)
+        part = subset(held, distinct[off:])
+        local = back.reshape(rows.shape) - off
+        x = part.inputs(p).astype(np.float32)
+        logit, kept = forward(p, gates_of(p, x), local, True)
+        d = (sigmoid(logit) - y[own[some]]) / len(some)
+        grad = backward(p, part, x, local, kept, d.astype(np.float32))
+        for name in ("word", "gram"):
+            own_rows = known[name][grad[name][0]]
+            grad[name] = (grad[name][0][own_rows], grad[name][1][own_rows])
+        adam.step(grad)
+    return better(p, [texts[i] for i in aside], y[aside], best)[1]
+
+
+def better(p: dict, texts: list[str], y: np.ndarray, best: tuple[float, dict] | None) -> tuple[float, dict]:
+    """The parameters, scaled on the texts set aside, if they predict those better than the best so far."""
+    logit = highest(p, texts)[0]
+    fit_ = scale(logit, y)
+    q = np.clip(sigmoid(fit_["scale"] * logit + fit_["shift"]), 1e-6, 1 - 1e-6)
+    loss = float(-(y * np.log(q) + (1 - y) * np.log(1 - q)).mean())
+    return (loss, {k: v.copy() for k, v in p.items()} | fit_) if best is None or loss < best[0] else best
+
+
+def frequent(feats: Features, starts_of: np.ndarray) -> dict:
+    """Buckets of words and grams that stand in several sampled texts; others would only be learned by heart."""
+    texts = np.zeros(len(feats.word), np.int64)
+    for low, high in zip(starts_of, starts_of[1:]):
+        texts[np.unique(feats.which[low:high])] += 1
+    word = np.bincount(feats.word, texts, BUCKETS) >= LEAST_TEXTS
+    gram = np.bincount(feats.gram, texts[feats.gram_at], BUCKETS) >= LEAST_TEXTS
+    return {"word": word, "gram": gram}
 
 
 def subset(feats: Features, rows: np.ndarray) -> Features:
