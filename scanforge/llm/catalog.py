@@ -48,6 +48,12 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import removal_report
+
+    return removal_report(table(spark, sf_dir, "documents"))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import archive_pages
 
@@ -94,7 +100,7 @@ def op10_omh(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_reshard": op1_reshard, "op2_secrets": op2_secrets, "op4_warc": op4_warc, "op5_pivots": op5_pivots, "op6_bpe": op6_bpe, "op7_pack": op7_pack, "op8_toxicity": op8_toxicity, "op9_simhash": op9_simhash, "op10_omh": op10_omh}
+    return {"op1_reshard": op1_reshard, "op2_secrets": op2_secrets, "op3_suffix": op3_suffix, "op4_warc": op4_warc, "op5_pivots": op5_pivots, "op6_bpe": op6_bpe, "op7_pack": op7_pack, "op8_toxicity": op8_toxicity, "op9_simhash": op9_simhash, "op10_omh": op10_omh}
 
 
 def oracle_sql() -> dict[str, str]:
