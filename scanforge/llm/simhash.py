@@ -151,3 +151,77 @@ def near_groups(docs: DataFrame, text: str = "text", size: int = 3, bits: int =
     tree = components(named.unionByName(again.select("x", "y")), "x", "y")
     of = classes.join(tree, F.col("first") == F.col("node"), "left").select("fp", F.coalesce("component", "first").alias("component_id"))
     return marked.join(of.hint("merge"), "fp").select("doc_id", "fp", "component_id")
+
+
+#: Of each of PRINTS fingerprints NEAR bits may differ in a candidate pair, of all together FAR.
+PRINTS, NEAR, FAR = 6, 13, 52
+
+
+def word_prints(own: list[bytes]) -> list[int]:
+    """PRINTS fingerprints over the distinct words; an edit touches fewer of them than of longer shingles."""
+    distinct = list(set(own))
+    h = np.array([[xxhash.xxh3_64_intdigest(w, seed) for w in distinct] for seed in range(PRINTS)], np.uint64)
+    return [fingerprint(x) for x in h] if distinct else [0] * PRINTS
+
+
+def near_copies(docs: DataFrame, text: str = "text", size: int = 5, least: float = 0.8) -> DataFrame:
+    """doc_id and component_id for documents whose text others repeat or nearly repeat (without those that stand alone).
+
+    Near means a Jaccard similarity of ``least`` or more between the sets of ``size``-word shingles.  Candidates share a
+    Golay key of one of PRINTS word fingerprints and lie within FAR bits over all of them; their similarity is then made
+    from the shingles themselves.  Rows without a doc_id are left out; rows that repeat one go with it."""
+    whole = F.coalesce(F.col(text), F.lit(""))
+    own = docs.where("doc_id is not null").select("doc_id", F.xxhash64(whole).alias("k1"), F.xxhash64(F.lit(7), whole).alias("k2"), whole.alias("t"))
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            f = np.array([word_prints(words(t.as_py())) for t in batch.column("t")], np.uint64).reshape(-1, PRINTS).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "k1", "k2")), pa.array(list(f), pa.list_(pa.int64()))], names=["doc_id", "k1", "k2", "f"])
+
+    marked = pin(own.mapInArrow(mark, "doc_id long, k1 long, k2 long, f array<long>"), "prints")
+    classes = pin(marked.groupBy("k1", "k2").agg(F.min("doc_id").alias("id"), F.first("f").alias("f")).select("id", "f"), "classes")
+
+    def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, f = np.asarray(batch.column("id")), np.array(batch.column("f").to_pylist(), np.int64).view(np.uint64)
+            for j in range(PRINTS):
+                who, k = keys(np.ascontiguousarray(f[:, j]))
+                yield pa.RecordBatch.from_arrays([pa.array(k | np.int64(j) << 44), pa.array(ids[who]), pa.array(f[who, j].view(np.int64))], names=["key", "id", "f"])
+
+    keyed = classes.mapInArrow(key, "key long, id long, f long")
+    a = keyed.select("key", F.col("id").alias("a"), F.col("f").alias("fa"))
+    b = keyed.select("key", F.col("id").alias("b"), F.col("f").alias("fb"))
+    pairs = a.join(b.hint("merge"), (a["key"] == b["key"]) & (F.col("a") < F.col("b")) & (F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= NEAR)).select("a", "b").distinct()
+    left, right = classes.select(F.col("id").alias("a"), F.col("f").alias("fa")), classes.select(F.col("id").alias("b"), F.col("f").alias("fb"))
+    apart = F.aggregate(F.zip_with("fa", "fb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    near = pin(pairs.join(left, "a").join(right, "b").where(apart <= FAR).select("a", "b"), "pairs")
+    named = near.select(F.col("a").alias("doc_id")).unionByName(near.select(F.col("b").alias("doc_id"))).distinct()
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(hashes(words(t.as_py()), size).view(np.int64) >> 32).astype(np.int32) for t in batch.column("t")]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.list_(pa.int32()))], names=["doc_id", "s"])
+
+    sets = pin(own.join(named, "doc_id", "left_semi").select("doc_id", "t").mapInArrow(gather, "doc_id long, s array<int>").dropDuplicates(["doc_id"]), "sets")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for x, y in zip(batch.column("sa"), batch.column("sb")):
+                x, y = np.asarray(x.values), np.asarray(y.values)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                good.append(both >= least * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    sa, sb = sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb"))
+    links = near.join(sa, "a").join(sb, "b").mapInArrow(verify, "a long, b long")
+    first = marked.groupBy("k1", "k2").agg(F.min("doc_id").alias("first"))
+    copies = marked.join(first.hint("merge"), ["k1", "k2"]).where("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
+    found = components(links.unionByName(copies), "a", "b")
+    return found.select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
+
+
+def drop_copies(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` with one document of each group of copies and near copies: that with the smallest doc_id."""
+    gone = pin(near_copies(docs, text).where("doc_id <> component_id").select("doc_id"), "copies")
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
