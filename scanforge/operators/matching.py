@@ -113,7 +113,9 @@ def match_features(original: DataFrame, rebuilt: DataFrame, key: list[str], tol_
                 used.add(r_)
         return group[keep]
 
-    return near.groupBy(*key).applyInPandas(take, near.schema) if key else near.groupBy(F.lit(0)).applyInPandas(take, near.schema)
+    if not key:
+        return near.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(lambda g: take(g.drop(columns="_all")), near.schema)
+    return near.groupBy(*key).applyInPandas(take, near.schema)
 
 
 def match_quality(n_original: Column, n_rebuilt: Column, n_matched: Column) -> list[Column]:
