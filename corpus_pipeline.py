@@ -27,7 +27,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     from scanforge.llm.toxicity import fit, score
 
     model = fit(docs, common.table(spark, sf_dir, "labels"))
-    return score(docs.withColumn("_text", F.col("text")), model, "_text").where("score < 0.5").select(*docs.columns)
+    return score(docs.withColumn("copy", F.col("text")), model, "copy").where("score < 0.5").select(*docs.columns)
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,15 +39,15 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     from scanforge.llm.suffix_dedup import kept_texts
 
-    kept = kept_texts(docs.withColumn("_empty", F.coalesce(F.length("text"), F.lit(0)) == 0))
-    return kept.where(F.col("_empty") | (F.length("text") > 0)).withColumn("n_chars", measured(docs)).select(*docs.columns)
+    kept = kept_texts(docs.withColumn("empty", F.coalesce(F.length("text"), F.lit(0)) == 0))
+    return kept.where(F.col("empty") | (F.length("text") > 0)).select(*docs.columns)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     from scanforge.llm.secrets import redact, scan
 
     found = scan(docs, keep_text=True)
-    return found.withColumn("text", redact(F.col("text"), F.col("spans"))).withColumn("n_chars", measured(docs)).select(*docs.columns)
+    return found.withColumn("text", redact(F.col("text"), F.col("spans"))).select(*docs.columns)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,17 +56,25 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return pack(token_pieces(docs, vocabulary()))
 
 
-def measured(docs: DataFrame):
-    """The length of a text that a stage has shortened, in the type of the column."""
-    return F.length("text").cast(docs.schema["n_chars"].dataType)
+OWN = ["doc_id", "text", "source"]
 
 
 def fresh(stage):
-    """The tables that earlier stages left in the shared folder are no longer read: their results are written."""
+    """Run a stage on the columns it knows, all others packed into one, so extra columns of any name pass unchanged.
+
+    A text that a stage shortens gets its new n_chars.  The tables that earlier stages left in the shared folder are
+    removed first: their results are written, so nothing reads them any more."""
 
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         common.release(spark)
-        return stage(spark, docs, sf_dir)
+        out = stage(spark, common.packed(docs, OWN), sf_dir)
+        if "rest" not in out.columns:
+            return out
+        out = common.unpacked(out, docs.columns, OWN)
+        if "n_chars" not in docs.columns:
+            return out
+        n = F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), F.col("n_chars"))
+        return out.withColumn("n_chars", n)
 
     return run_stage
 

@@ -8,7 +8,8 @@ further at the pairs found in the vocabulary.  Texts are taken in blocks: equal
 the merges of all its fragments run side by side in numpy arrays, each fragment in its own merge order.
 
 The work is per text: no shuffle, memory bounded by one block or text, and a lost executor repeats only its own
-input splits.  Defined results: a null text is encoded as the empty one (no ids); all other columns pass unchanged.
+input splits.  Defined results: a null text is encoded as the empty one (no ids); all other columns pass unchanged,
+but for input columns named like those the operator adds, which are replaced.
 """
 
 from __future__ import annotations
@@ -300,10 +301,7 @@ def read_spec(path: str) -> str:
 def encode_documents(docs: DataFrame, vocab_path: str, text: str = "text", with_text: bool = True) -> DataFrame:
     """``docs`` without its text plus ``ids`` (array<int>), ``n_tokens``, and with_text ``decoded``."""
     spec = docs.sparkSession.sparkContext.broadcast(read_spec(vocab_path))
-    keep = [f for f in docs.schema.fields if f.name != text]
-    clash = {"ids", "n_tokens", "decoded"} & {f.name for f in keep}
-    if clash:
-        raise ValueError(f"columns {sorted(clash)} would be overwritten")
+    keep = [f for f in docs.schema.fields if f.name not in (text, "ids", "n_tokens", "decoded")]
     out = T.StructType([*keep, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType()), *([T.StructField("decoded", T.StringType())] if with_text else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

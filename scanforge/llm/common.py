@@ -66,6 +66,17 @@ def release(spark: SparkSession) -> None:
         drop_path(spark, path)
 
 
+def packed(docs: DataFrame, own: list[str]) -> DataFrame:
+    """The columns in ``own`` and all others as one struct ``rest``, so that no name an operator uses can clash."""
+    others = [c for c in docs.columns if c not in own]
+    return docs.select(*(F.col(f"`{c}`") for c in own), F.struct(F.lit(True).alias("_"), *(F.col(f"`{c}`") for c in others)).alias("rest"))
+
+
+def unpacked(df: DataFrame, columns: list[str], own: list[str], *more: Column) -> DataFrame:
+    """The named columns again, from ``own`` and ``rest``, and more."""
+    return df.select(*(F.col(f"`{c}`") if c in own else F.col("rest").getField(c).alias(c) for c in columns), *more)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -77,9 +88,6 @@ def ranked(df: DataFrame, group: list[str], order: list[Column], name: str = "ra
     numbers its own sorted rows; the start of every (task, group) run comes from a count table that has at most
     tasks + groups rows, which is why it may be broadcast."""
     spark = df.sparkSession
-    clash = [c for c in ("_run", "_at", "_from") if c in df.columns]
-    if clash:
-        raise ValueError(f"column names kept for ranks: {clash}")
     keys = [F.col(f"`{c}`") for c in group]
     dealt = df.repartitionByRange(partitions(spark), *keys, *order).sortWithinPartitions(*keys, *order)
     held = pin(dealt.withColumn("_run", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()), "ranked")

@@ -11,8 +11,8 @@ old + new intervals, so the plan costs one range shuffle of whatever columns are
 then writes only shards that lose or gain rows.
 
 Law ``rows``: the counts of new shards differ by one at most.  Defined results: null texts count 16 bytes; equal rows
-are all placed; a null shard key belongs to old shard 0; an empty table gives an empty result.  The columns the
-operator adds (old_shard, shard, slot) must not exist already.
+are all placed; a null shard key belongs to old shard 0; an empty table gives an empty result; input columns named like those
+the operator adds (old_shard, shard, slot) are replaced.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import heapq
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ranked, unpin
+from .common import ranked, unpacked, unpin
 
 BLOCKS = 16
 
@@ -130,11 +130,12 @@ def solve_transfers(blocks: dict[int, list[tuple[int, int]]], capacities: list[i
 
 def reshard(docs: DataFrame, old_shard: Column, size: Column, order: list[Column], new_shards: int) -> DataFrame:
     """``docs`` with ``old_shard``, ``shard`` and ``slot`` (gapless from 0 in each shard) under law ``rows``."""
-    clash = {"old_shard", "shard", "slot", "_size", "_rank"} & set(docs.columns)
-    if clash:
-        raise ValueError(f"columns {sorted(clash)} would be overwritten")
-    rows = docs.withColumn("old_shard", F.coalesce(old_shard.cast("int"), F.lit(0))).withColumn("_size", size.cast("long"))
-    placed = ranked(rows, ["old_shard"], [F.col("_size"), *order], "_rank")
+    added = ["old_shard", "shard", "slot"]
+    carried = [c for c in docs.columns if c not in added]
+    names = [f"_order{i}" for i in range(len(order))]
+    rest = F.struct(F.lit(True).alias("_"), *(F.col(f"`{c}`") for c in carried)).alias("rest")
+    rows = docs.select(rest, F.coalesce(old_shard.cast("int"), F.lit(0)).alias("old_shard"), size.cast("long").alias("_size"), *(c.alias(n) for c, n in zip(order, names)))
+    placed = ranked(rows, ["old_shard"], [F.col("_size"), *map(F.col, names)], "_rank")
     # blocks of near equal row counts, in ascending size: one row for each old shard and block
     totals = placed.groupBy("old_shard").agg(F.max("_rank").alias("_last"))
     block = F.floor(F.col("_rank") * BLOCKS / (F.col("_last") + 1)).cast("int")
@@ -145,7 +146,7 @@ def reshard(docs: DataFrame, old_shard: Column, size: Column, order: list[Column
     n = sum(r["n"] for r in found)
     if not n:
         unpin(placed)
-        return rows.drop("_size").withColumn("shard", F.lit(None).cast("int")).withColumn("slot", F.lit(None).cast("long"))
+        return unpacked(rows, carried, [], F.col("old_shard"), F.lit(None).cast("int").alias("shard"), F.lit(None).cast("long").alias("slot"))
     plan = solve_transfers(blocks, [n // new_shards] * new_shards, n % new_shards)
     spans, filled = [], {j: plan.get((j, j), 0) for j in range(new_shards)}
     for o in blocks:
@@ -160,7 +161,7 @@ def reshard(docs: DataFrame, old_shard: Column, size: Column, order: list[Column
     held = docs.sparkSession.createDataFrame(spans, "o int, low long, high long, shard int, shift long")
     on = (F.col("old_shard") == F.col("o")) & (F.col("_rank") >= F.col("low")) & (F.col("_rank") < F.col("high"))
     out = placed.join(F.broadcast(held), on).withColumn("slot", F.col("_rank") + F.col("shift"))
-    out = out.select(*docs.columns, "old_shard", "shard", "slot")
+    out = unpacked(out, carried, [], *map(F.col, added))
     out._scanforge_path = placed._scanforge_path
     return out
 

@@ -12,7 +12,8 @@ before each shuffle, so a value in a third of all rows is no hot task; its verdi
 adaptive execution can split.
 
 Defined results: a null text is empty; a null owner is an owner of its own; rows are kept apart by a row number, so
-repeated rows and null ids are each scanned.  The operator adds ``spans``, an array sorted by start and kind.
+repeated rows and null ids are each scanned.  The operator adds ``spans``, an array sorted by start and kind; an input
+column of that name is replaced.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pin
+from .common import pin, unpacked
 
 #: The base kinds in their order, their patterns, and the group that holds the value.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -76,21 +77,20 @@ def say(spans: Column) -> Column:
 
 def scan(docs: DataFrame, text: str = "text", owner: str = "source", repository: str = "doc_id", keep_text: bool = False) -> DataFrame:
     """``docs`` (without its text unless ``keep_text``) plus ``spans``: start, kind number, stop, owners, repositories, live."""
-    clash = {"spans", "_row", "_base", "_found"} & set(docs.columns)
-    if clash:
-        raise ValueError(f"columns {sorted(clash)} would be overwritten")
-    whole = F.coalesce(F.col(text), F.lit(""))
+    kept = [c for c in docs.columns if c != "spans" and (keep_text or c != text)]
+    rest = F.struct(F.lit(True).alias("_"), *(F.col(f"`{c}`") for c in kept)).alias("rest")
+    named = docs.select(rest, F.col(owner).alias("o"), F.col(repository).alias("r"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    whole = F.col("t")
     hashed = F.transform(F.concat("_base", loose_spans(whole, F.col("_base"))), lambda s: F.struct(s["start"], s["kind"], s["stop"], F.xxhash64(s["value"]).alias("value")))
-    kept = [c for c in docs.columns if keep_text or c != text]
-    held = pin(docs.withColumn("_base", base_spans(whole)).withColumn("_found", hashed).drop("_base").select(*kept, "_found").withColumn("_row", F.monotonically_increasing_id()), "candidates")
-    each = held.where(F.size("_found") > 0).select("_row", F.col(owner).alias("o"), F.col(repository).alias("r"), F.explode("_found").alias("s")).select("_row", "o", "r", "s.*")
+    held = pin(named.withColumn("_base", base_spans(whole)).select("rest", "o", "r", hashed.alias("_found")).withColumn("_row", F.monotonically_increasing_id()), "candidates")
+    each = held.where(F.size("_found") > 0).select("_row", "o", "r", F.explode("_found").alias("s")).select("_row", "o", "r", "s.*")
     owned = each.groupBy("value", "o", "r").agg(F.lit(1).alias("x")).groupBy("value", "o").agg(F.count(F.lit(1)).alias("n"))
     verdict = owned.groupBy("value").agg(F.count(F.lit(1)).alias("owners"), F.sum("n").alias("repositories"))
     judged = each.drop("o", "r").join(verdict, "value").withColumn("live", F.col("owners") < EXAMPLE_OWNERS).where((F.col("kind") < 3) | F.col("live"))
     spans = judged.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "stop", "owners", "repositories", "live"))).alias("spans"))
     kind = spans.schema["spans"].dataType.simpleString()
-    some = held.where(F.size("_found") > 0).join(spans, "_row", "left").select(*kept, F.coalesce("spans", F.array().cast(kind)).alias("spans"))
-    out = held.where(F.size("_found") == 0).select(*kept, F.array().cast(kind).alias("spans")).unionByName(some)
+    some = held.where(F.size("_found") > 0).join(spans, "_row", "left").select("rest", F.coalesce("spans", F.array().cast(kind)).alias("spans"))
+    out = unpacked(held.where(F.size("_found") == 0).select("rest", F.array().cast(kind).alias("spans")).unionByName(some), kept, [], F.col("spans"))
     out._scanforge_path = held._scanforge_path
     return out
 

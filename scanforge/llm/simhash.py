@@ -112,7 +112,7 @@ def keys(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def fingerprints(docs: DataFrame, text: str = "text", size: int = 3) -> DataFrame:
     """``docs`` without its text plus ``fp`` (the fingerprint as a signed 64-bit number)."""
-    keep = [f for f in docs.schema.fields if f.name != text]
+    keep = [f for f in docs.schema.fields if f.name not in (text, "fp")]
     out = T.StructType([*keep, T.StructField("fp", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -335,9 +335,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, longest: int =
 
 
 def score(docs: DataFrame, model: dict | None, text: str = "text") -> DataFrame:
-    """``docs`` without its text plus ``score`` and ``windows``."""
+    """``docs`` without its text plus ``score``, which replaces a column of that name."""
     held = docs.sparkSession.sparkContext.broadcast(model)
-    keep = [f for f in docs.schema.fields if f.name != text]
+    keep = [f for f in docs.schema.fields if f.name not in (text, "score")]
     out = T.StructType([*keep, T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

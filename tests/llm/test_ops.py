@@ -74,8 +74,8 @@ def test_reshard_law(spark, docs, empty, tmp_path):
     assert all(sorted(v) == list(range(len(v))) for v in by.values())
     assert max(map(len, by.values())) - min(map(len, by.values())) <= 1
     assert reshard.reshard(empty, F.lit(0), F.lit(16), [F.col("doc_id")], 5).count() == 0
-    with pytest.raises(ValueError):
-        reshard.reshard(docs.withColumn("shard", F.lit(1)), F.lit(0), F.lit(1), [F.col("doc_id")], 2)
+    again = reshard.reshard(docs.withColumn("shard", F.lit("mine")).withColumn("_size", F.lit("x")), F.lit(0), F.lit(1), [F.col("doc_id")], 2)
+    assert again.schema["shard"].dataType.simpleString() == "int" and {r["_size"] for r in again.collect()} == {"x"}
     touched = reshard.rewrite_affected(got, f"file://{tmp_path}/shards")
     assert set(touched) == {x for r in rows if r["old_shard"] != r["shard"] for x in (r["old_shard"], r["shard"])}
 
@@ -94,6 +94,7 @@ def test_secret_spans_and_ownership(spark, docs, empty):
     texts = ["é😀 secret: 'abcdefgh1' API_KEY=x", "token=token: abcdefghij", "x " + "Zz9_" * 8 + "abcdefghkl", None]
     more = [(900 + i, t, "en", f"own{i}", 0) for i, t in enumerate(texts)] + [(950 + i, "key AKIAEXAMPLEEXAMPLE1 here", "en", f"o{i}", 0) for i in range(4)]
     df = docs.drop("extra").unionByName(spark.createDataFrame(more, SCHEMA))
+    df = df.withColumn("_row", F.lit("x")).withColumn("value", F.lit(1))
     got = secrets.scan(df, keep_text=True).withColumn("clean", secrets.redact(F.coalesce("text", F.lit("")), F.col("spans"))).collect()
     assert len(got) == df.count()
     for r in got:
@@ -176,7 +177,7 @@ def test_suffix_dedup(spark, docs, empty, monkeypatch, hot):
     got = Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.removal_report(df).collect())
     assert got == want
     if hot == 1:
-        kept = {r["doc_id"]: r["text"] for r in suffix_dedup.kept_texts(df.where("doc_id >= 1000 or doc_id in (15, 18)")).collect()}
+        kept = {r["doc_id"]: r["text"] for r in suffix_dedup.kept_texts(df.withColumn("k1", F.lit("x")).withColumn("kept", F.lit(0)).where("doc_id >= 1000 or doc_id in (15, 18)")).collect()}
         assert kept[15] is None and kept[18] == "" and all(common_[100:300] not in kept[i] for i in range(1000, 1006))
         assert suffix_dedup.removal_report(empty).count() == 0
 

@@ -28,7 +28,7 @@ def test_stages(spark, tmp_path):
     edited = near[:50] + ["edit"] + near[51:]
     docs += [(1001, prose(40, 1) + " " + shared, "en", "s1", 0), (1002, prose(40, 2) + " " + shared, "en", "s1", 0), (1003, " ".join(near), "en", "s1", 0), (1004, " ".join(edited), "en", "s2", 0), (1005, "my password = hunter2hunter2 " + prose(30, 3), "en", "s3", 0)]
     folder = f"file://{tmp_path}"
-    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").selectExpr("*", "'x' as score", "1 as spans", "2 as k1").write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
     now = spark.read.parquet(f"{folder}/documents.parquet")
     kept = {}
