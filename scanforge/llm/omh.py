@@ -24,6 +24,8 @@ from .common import partitions, pin, ranked
 K, TUPLES = 3, 32
 BLANKS = r"[\x20\x09-\x0D]+"
 PLACES = 22
+#: Whose a k-mer is: of both texts, of the text alone, of the edited one alone; and the digest's digits.
+BOTH, TEXT, EDITED, DIGEST = range(4)
 
 
 def words(text: Column) -> Column:
@@ -64,41 +66,45 @@ def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
     spark = docs.sparkSession
     key = ["k", "h"]
     whole = docs.select("doc_id", F.coalesce(text, F.lit("")).alias("t"))
-    base = whole.select("doc_id", "t", F.length("t").alias("n"), F.coalesce("doc_id", F.lit(-(1 << 63))).alias("k"), F.xxhash64("t").alias("h"))
-    slim = ranked(base.select("k", "h", "n").distinct(), [], [F.col("k"), F.col("h")], "rank")
-    count = slim.count()
-    ahead = slim.select(F.col("k").alias("nk"), F.col("h").alias("nh"), F.pmod(F.col("rank") - 1, F.lit(max(count, 1))).alias("rank"))
-    plan = slim.join(ahead.hint("merge"), "rank").withColumn("need", F.floor(F.col("n") / 4).cast("int"))
-    once = base.repartition(partitions(spark), *key).dropDuplicates(key)
-    heads = once.select(F.col("k").alias("nk"), F.col("h").alias("nh"), "t").join(plan.select("k", "h", "nk", "nh", "need").hint("merge"), ["nk", "nh"]).select("k", "h", F.expr("substring(t, 1, need)").alias("q"), "need")
-    own = once.join(heads.hint("merge"), key).withColumn("p", F.expr("substring(t, 1, n - need)"))
-    texts = own.select("doc_id", *key, F.col("n").cast("long").alias("n_chars"), F.sha2(F.concat("p", "q").cast("binary"), 256).alias("edited_sha256"))
+    base = whole.select("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("k"), F.xxhash64("t").alias("h"), "t")
+    slim = ranked(base.select("doc_id", *key, F.length("t").alias("n")).distinct(), [], [F.col("k"), F.col("h")], "rank")
+    count = F.lit(max(slim.count(), 1))
+    ahead = slim.select(F.col("k").alias("nk"), F.col("h").alias("nh"), F.pmod(F.col("rank") - 1, count).alias("rank"))
+    plan = slim.join(ahead.hint("merge"), "rank").select(*key, "nk", "nh", F.floor(F.col("n") / 4).cast("int").alias("need"))
+    # the texts, dealt once: both joins below read this exchange
+    once = base.select(*key, "t").repartition(partitions(spark), *key).dropDuplicates(key)
+    heads = once.select(F.col("k").alias("nk"), F.col("h").alias("nh"), "t").join(plan.hint("merge"), ["nk", "nh"]).select(*key, F.expr("substring(t, 1, need)").alias("q"), "need")
+    own = once.join(heads.hint("merge"), key).withColumn("p", F.expr("substring(t, 1, length(t) - need)"))
 
     # words of the common part but for its last, which the edit may lengthen
-    parts = own.select(*key, words(F.col("t")).alias("w"), F.split(F.regexp_replace("p", f"^{BLANKS}", ""), BLANKS).alias("wp"), "q")
+    digest = F.sha2(F.concat("p", "q").cast("binary"), 256)
+    parts = own.select(*key, words(F.col("t")).alias("w"), F.split(F.regexp_replace("p", f"^{BLANKS}", ""), BLANKS).alias("wp"), "q", digest.alias("s"))
     parts = parts.withColumn("c", F.size("wp") - 1).withColumn("low", F.greatest(F.lit(1), F.col("c") - (K - 2)))
     tail = words(F.concat(F.concat_ws(" ", F.slice("wp", F.col("low"), K)), "q"))
-    parts = parts.select(*key, "w", "c", tail.alias("e"), F.greatest(F.lit(0), F.col("c") - (K - 1)).alias("same"))
-    mine = F.transform(kmers(F.col("w"), F.lit(True)), lambda x, i: F.struct(F.when(i < F.col("same"), 0).otherwise(1).alias("of"), x.alias("x"), i.alias("at")))
-    edit = F.transform(kmers(F.col("e"), F.col("c") < K - 1), lambda x, i: F.struct(F.lit(2).alias("of"), x.alias("x"), (F.col("same") + i).alias("at")))
-    each = parts.select(*key, F.explode_outer(F.concat(mine, edit)).alias("m")).select(*key, "m.*")
+    parts = parts.select(*key, "w", "c", "s", tail.alias("e"), F.greatest(F.lit(0), F.col("c") - (K - 1)).alias("same"))
+    row = lambda of, x, at: F.struct(of.alias("of"), x.alias("x"), at.alias("at"))
+    mine = F.transform(kmers(F.col("w"), F.lit(True)), lambda x, i: row(F.when(i < F.col("same"), BOTH).otherwise(TEXT), x, i))
+    edit = F.transform(kmers(F.col("e"), F.col("c") < K - 1), lambda x, i: row(F.lit(EDITED), x, F.col("same") + i))
+    # the digest travels as eight numbers among the k-mers, so no wide column is sorted with them
+    told = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: row(F.lit(DIGEST), F.conv(F.substring("s", i * 8 + 1, F.lit(8)), 16, 10).cast("long"), i))
+    each = parts.select(*key, F.explode(F.concat(mine, edit, told)).alias("m")).select(*key, "m.*")
     so_far = Window.partitionBy(*key, "x").orderBy("at", "of").rowsBetween(Window.unboundedPreceding, 0)
-    nth = F.when(F.col("of") == 2, F.sum(F.when(F.col("of") != 1, 1).otherwise(0)).over(so_far)).otherwise(F.sum(F.when(F.col("of") != 2, 1).otherwise(0)).over(so_far))
-    numbered = each.withColumn("v", F.when(F.col("x").isNotNull(), F.xxhash64("x", nth)))
+    of = lambda *kinds: F.sum(F.when(F.col("of").isin(*kinds), 1).otherwise(0)).over(so_far)
+    numbered = each.withColumn("v", F.xxhash64("x", F.when(F.col("of") == EDITED, of(BOTH, EDITED)).otherwise(of(BOTH, TEXT))))
     place = F.col("at").cast("long").bitwiseAND(F.lit((1 << PLACES) - 1))
     value = F.shiftleft(F.shiftrightunsigned("v", PLACES + 1), PLACES).bitwiseOR(place)
     slot = F.pmod("v", F.lit(2 * TUPLES))
-    picked = numbered.select(*key, "of", F.floor(slot / 2).cast("int").alias("j"), (slot % 2).alias("side"), value.alias("y"))
+    digits = F.col("of") == DIGEST
+    picked = numbered.select(*key, "of", F.when(digits, TUPLES + F.col("at")).otherwise(F.floor(slot / 2)).cast("int").alias("j"), F.when(digits, 0).otherwise(slot % 2).alias("side"), F.when(digits, F.col("x")).otherwise(value).alias("y"))
     least = lambda side, other: F.min(F.when((F.col("side") == side) & (F.col("of") != other), F.col("y")))
-    chosen = picked.groupBy(*key, "j").agg(least(0, 2).alias("a0"), least(1, 2).alias("a1"), least(0, 1).alias("b0"), least(1, 1).alias("b1"))
-    hashed = chosen.select(*key, "j", tuple_hash(F.col("a0"), F.col("a1")).alias("a"), tuple_hash(F.col("b0"), F.col("b1")).alias("b"))
+    chosen = picked.groupBy(*key, "j").agg(least(0, EDITED).alias("a0"), least(1, EDITED).alias("a1"), least(0, TEXT).alias("b0"), least(1, TEXT).alias("b1"))
+    hashed = chosen.select(*key, "j", F.when(F.col("j") < TUPLES, tuple_hash(F.col("a0"), F.col("a1")).cast("long")).otherwise(F.col("a0")).alias("a"), tuple_hash(F.col("b0"), F.col("b1")).cast("long").alias("b"))
     listed = hashed.groupBy(*key).agg(F.collect_list(F.struct("j", "a", "b")).alias("m"))
-    every = F.sequence(F.lit(0), F.lit(TUPLES - 1))
-    of = lambda j, side: F.get(F.filter("m", lambda x: x["j"] == j), F.lit(0))[side]
-    prints = listed.select(*key, F.transform(every, lambda j: of(j, "a")).alias("a"), F.transform(every, lambda j: of(j, "b")).alias("b"))
-    full = texts.join(prints.hint("merge"), key).join(plan.select(*key, "rank").hint("merge"), key)
-    full = pin(full, "prints")
-    after = full.select(F.pmod(F.col("rank") - 1, F.lit(max(count, 1))).alias("rank"), F.col("a").alias("z"))
-    out = full.join(after.hint("merge"), "rank").select("doc_id", "n_chars", "edited_sha256", say(F.col("a")).alias("fingerprint"), say(F.col("b")).alias("edited_fingerprint"), likeness(F.col("a"), F.col("b")).alias("near_edited"), likeness(F.col("a"), F.col("z")).alias("near_next"))
+    at = lambda j, side: F.get(F.filter("m", lambda x: x["j"] == j), F.lit(0))[side]
+    row_of = lambda low, high, side: F.transform(F.sequence(F.lit(low), F.lit(high)), lambda j: at(j, side))
+    prints = listed.select(*key, row_of(0, TUPLES - 1, "a").alias("a"), row_of(0, TUPLES - 1, "b").alias("b"), row_of(TUPLES, TUPLES + 7, "a").alias("s"))
+    full = pin(prints.join(slim.hint("merge"), key), "prints")
+    after = full.select(F.pmod(F.col("rank") - 1, count).alias("rank"), F.col("a").alias("z"))
+    out = full.join(after.hint("merge"), "rank").select("doc_id", F.col("n").cast("long").alias("n_chars"), say(F.col("s")).alias("edited_sha256"), say(F.col("a")).alias("fingerprint"), say(F.col("b")).alias("edited_fingerprint"), likeness(F.col("a"), F.col("b")).alias("near_edited"), likeness(F.col("a"), F.col("z")).alias("near_next"))
     out._scanforge_path = full._scanforge_path
     return out
