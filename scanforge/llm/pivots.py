@@ -1,6 +1,7 @@
 """Op 5 - embedding near-dedup by a pivot-permutation index.
 
-A bounded sample of vectors serves as reference points (pivots).  Each vector is described by its ``depth`` nearest
+A bounded sample of vectors serves as reference points (pivots), thinned so that no two lie close together: a dense
+group of vectors then has one pivot that all its members put first, and not a crowd of them in chance order.  Each vector is described by its ``depth`` nearest
 pivots in order, and posted into the inverted list of each of the first ``probes`` of them.  Vectors that share a list
 are candidates if their descriptions share at least ``shared`` pivots, and candidates are verified by cosine in double
 precision.  Every vector is indexed; only the pivots are sampled (bound: ``pivots`` a label).
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import components, pin
 
-PIVOTS, DEPTH, PROBES, SHARED, CELL = 256, 12, 3, 5, 2000
+PIVOTS, APART, DEPTH, PROBES, SHARED, CELL = 256, 0.8, 16, 4, 4, 2000
 
 
 def usable(embedding) -> F.Column:
@@ -40,6 +41,15 @@ def unit(rows: pd.Series) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def thinned(pivots: np.ndarray, apart: float = APART) -> np.ndarray:
+    """Pivots of which no two have a cosine of ``apart`` or more, earlier ones first."""
+    kept: list[int] = []
+    for i in range(len(pivots)):
+        if not kept or (pivots[kept] @ pivots[i]).max() < apart:
+            kept.append(i)
+    return pivots[kept]
+
+
 def nearest(x: np.ndarray, pivots: np.ndarray, depth: int) -> np.ndarray:
     """The ``depth`` nearest pivots of each vector, nearest first."""
     near = x @ pivots.T
@@ -77,7 +87,7 @@ def near_vectors(table: DataFrame, least: float = 0.98, pivots: int = PIVOTS, de
     spread = F.xxhash64("k", F.lit(5))
     # the pivots: the vectors of a label with the smallest hashes, their number bounded
     chosen = held.groupBy("label", F.pmod(spread, F.lit(pivots)).alias("slot")).agg(F.min_by("e", F.struct(spread, "id")).alias("e"))
-    by_label = chosen.groupBy("label").agg(F.collect_list("e").alias("pivots"))
+    by_label = chosen.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("slot", "e"))), lambda s: s["e"]).alias("pivots"))
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
@@ -85,7 +95,7 @@ def near_vectors(table: DataFrame, least: float = 0.98, pivots: int = PIVOTS, de
                 own = group["pivots"].iloc[0]
                 d = len(own[0])
                 group = group[[len(v) == d for v in group["e"]]]
-                own = unit(pd.Series([p for p in own if len(p) == d]))
+                own = thinned(unit(pd.Series([p for p in own if len(p) == d])))
                 if not len(group):
                     continue
                 near = nearest(unit(group["e"]), own, depth)

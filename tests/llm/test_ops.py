@@ -231,6 +231,18 @@ def test_pivot_index(spark):
     assert pivots.near_vectors(df.where("false")).count() == 0
 
 
+def test_pivot_index_finds_a_dense_group(spark):
+    r = np.random.default_rng(1)
+    centre = r.standard_normal(64)
+    x = np.concatenate([centre + r.standard_normal((150, 64)) * 0.09, r.standard_normal((250, 64))])
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = {q["vec_id"]: q["n_links"] for q in pivots.near_vectors(df, cell=90).collect()}
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    near = (u @ u.T >= 0.98).sum(1) - 1
+    assert near.sum() > 10_000 and sum(got.values()) >= 0.9 * near.sum()
+    assert all(got[i] <= near[i] for i in got)
+
+
 # ------------------------------------------------------------------ ops 6 and 7
 
 
