@@ -9,10 +9,11 @@ and never cross documents.  The corpus is cut into shards whose suffixes can be
    Equal strings have the same anchor at the same offset, and runs of starts share one.  An anchor whose hash stands
    once in the corpus has no equal string, so its starts are settled.
 3. The stretch of text that the starts of an anchor cover is its context.  Equal contexts under an equal anchor are
-   collapsed by count: their starts repeat.  Contexts that differ from all others under their anchor while others
-   exist are sorted: :mod:`induced` makes the suffix order and common prefixes of all distinct contexts of a shard (a
-   set of anchors), and a start repeats if a neighbour in that order shares LENGTH bytes.
-4. Byte ranges return to their classes and are cut out.
+   collapsed by count: their starts repeat.  Where different contexts meet under an anchor, they are cut into blocks
+   of BLOCK starts; a block whose strings' common bytes stand nowhere else is settled, equal blocks collapse again.
+4. What still differs under a shared key is sorted: :mod:`induced` makes the suffix order and common prefixes of all
+   distinct blocks of a shard (a set of keys), and a start repeats if a neighbour in that order shares LENGTH bytes.
+5. Byte ranges return to their classes and are cut out.
 
 An anchor that stands more than ``HOT`` times spreads: each of its starts becomes a context of one string, keyed by the
 string's own hash, so its equals meet by count alone and no task holds the group.  Texts are read whole, long ones in
@@ -35,11 +36,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import drop_path, new_path, partitions, pin, unpin
+from .common import drop_path, new_path, packed, partitions, pin, unpacked, unpin
 from .induced import sort_suffixes
 
 LENGTH, GRAM, HOT, STRETCH = 400, 24, 5000, 1_000_000
-SHARD_BYTES = 8 << 20
+BLOCK, SHARD_BYTES, ROWS = 64, 2 << 20, 256
 PLACE_BITS = 20
 _odd = np.random.default_rng(11).integers(1, 1 << 62, 4, np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -91,11 +92,12 @@ def mapped(df: DataFrame, schema: str, each) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64() if isinstance(f.dataType, T.LongType) else pa.binary() if isinstance(f.dataType, T.BinaryType) else pa.string() if isinstance(f.dataType, T.StringType) else pa.int32() for f in out]
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            cols = each(*(batch.column(c) for c in batch.schema.names))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=out.names)
+        for whole in batches:
+            # in slices, so that what is made of a batch of long texts is never held at once
+            for low in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(low, ROWS)
+                cols = each(*(batch.column(c) for c in batch.schema.names))
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=out.names)
 
     return df.mapInArrow(run, out)
 
@@ -123,8 +125,34 @@ def cut_contexts(k1, k2, text, spots):
     return zip(*rows) if rows else [[]] * 8
 
 
-def cut_bytes(h, c1, c2, off, text, low, high):
-    return h, c1, c2, off, [t.as_py()[a : b + LENGTH] for t, a, b in zip(text, low.to_pylist(), high.to_pylist())]
+def cut_blocks(k1, k2, text, spots):
+    """Blocks of BLOCK starts, counted from the anchor, of contexts that differ from others under their anchor.
+
+    A block's key is the hash of the bytes that all strings of a whole block share: if no other block has it, none of
+    its starts repeats.  Then come the hashes of what its own starts cover, its place, and the context it is cut from."""
+    rows: list[tuple] = []
+    for i in range(len(text)):
+        raw, own = text[i].as_py(), (k1[i].as_py(), k2[i].as_py())
+        for s in spots[i].as_py():
+            p, high, mark = s["low"], s["high"], (s["h"], s["c1"], s["c2"], s["off"])
+            at = p + s["off"]
+            while p <= high:
+                block = (at - p) // BLOCK
+                last = min(high, at - block * BLOCK)
+                core = raw[at - block * BLOCK : at - block * BLOCK - BLOCK + 1 + LENGTH]
+                key = xxhash.xxh3_64_intdigest(core, block) >> 1 ^ s["h"]
+                d = xxhash.xxh3_128_intdigest(raw[p : last + LENGTH])
+                rows.append((*own, key, d & (1 << 63) - 1, d >> 65, at - p, p, last, *mark, p - s["low"]))
+                p = last + 1
+    return zip(*rows) if rows else [[]] * 13
+
+
+def cut_bytes(text, spots):
+    rows = []
+    for t, own in zip(text, spots):
+        raw = t.as_py()
+        rows += [(s["h"], s["c1"], s["c2"], s["off"], raw[s["low"] : s["high"] + LENGTH]) for s in own.as_py()]
+    return zip(*rows) if rows else [[]] * 5
 
 
 def repeats(strings: list[bytes], length: int = LENGTH) -> list[tuple[int, int, int]]:
@@ -170,6 +198,11 @@ def classes_of(docs: DataFrame, text: str) -> DataFrame:
     return docs.withColumn("k1", F.xxhash64(whole)).withColumn("k2", F.xxhash64(F.lit(7), whole, F.length(whole)))
 
 
+def whole_runs(distinct: DataFrame) -> DataFrame:
+    """Stretches that stand more than once repeat from their first start to their last."""
+    return distinct.where("n > 1").select("h", "c1", "c2", "off", F.lit(0).cast("long").alias("first"), (F.col("at.high") - F.col("at.low")).alias("last"))
+
+
 class Repeats:
     """The classes of equal texts (a bucketed table) and the byte ranges to remove from each."""
 
@@ -186,21 +219,32 @@ class Repeats:
 
     def find(self) -> DataFrame:
         key, mark = ["k1", "k2"], ["h", "c1", "c2", "off"]
+        # hash joins to the texts build on the slim side, so texts are neither dealt nor sorted again
         long = self.classes.where(F.length("x") >= LENGTH)
         spots = pin(mapped(long.select(*key, "x"), "k1 long, k2 long, h long, at long, low long, high long", find_anchors), "anchors")
         again = spots.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         lists = spots.join(again.hint("merge"), "h").groupBy(*key).agg(F.collect_list(F.struct("low", "high", "at", "h", (F.col("n") > HOT).alias("hot"))).alias("spots"))
-        own = pin(mapped(long.select(*key, "x").join(lists.hint("merge"), key).select(*key, "x", "spots"), "k1 long, k2 long, h long, c1 long, c2 long, off long, low long, high long", cut_contexts), "contexts")
+        own = pin(mapped(long.select(*key, "x").join(lists.hint("shuffle_hash"), key).select(*key, "x", "spots"), "k1 long, k2 long, h long, c1 long, c2 long, off long, low long, high long", cut_contexts), "contexts")
         unpin(spots)
-        # distinct contexts: how often each stands, and one place where it does
-        distinct = pin(own.groupBy(*mark).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*key, "low", "high")).alias("at")), "distinct")
-        rivals = distinct.groupBy("h").agg(F.count(F.lit(1)).alias("rivals")).where("rivals > 1")
-        contested = distinct.join(rivals.hint("merge"), "h").select(*mark, "at.*")
-        bytes_ = mapped(self.classes.select(*key, "x").join(contested.hint("merge"), key).select(*mark, "x", "low", "high"), "h long, c1 long, c2 long, off long, x binary", cut_bytes)
+        distinct, contested = self.rivals(own)
+        text = self.classes.select(*key, "x")
+        # one row for each text, with the list of its places
+        listed = lambda df: df.groupBy(*key).agg(F.collect_list(F.struct(*mark, "low", "high")).alias("spots")).hint("shuffle_hash")
+        cut = text.join(listed(contested), key).select(*key, "x", "spots")
+        schema = "k1 long, k2 long, h long, c1 long, c2 long, off long, low long, high long, in_h long, in_c1 long, in_c2 long, in_off long, shift long"
+        blocks = pin(mapped(cut, schema, cut_blocks), "blocks")
+        shared = blocks.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
+        alike = pin(blocks.join(shared.hint("merge"), "h"), "alike")
+        unpin(blocks)
+        few, still = self.rivals(alike)
+        bytes_ = mapped(text.join(listed(still), key).select("x", "spots"), "h long, c1 long, c2 long, off long, x binary", cut_bytes)
         shards = bytes_.repartition(self.parts, "h").sortWithinPartitions("h", "c1", "c2", "off")
         sorted_ = shards.mapInArrow(sort_shard, "h long, c1 long, c2 long, off long, first long, last long")
-        equal = distinct.where("n > 1").select(*mark, F.lit(0).cast("long").alias("first"), (F.col("at.high") - F.col("at.low")).alias("last"))
-        runs = pin(sorted_.unionByName(equal), "runs")
+        inner = pin(sorted_.unionByName(whole_runs(few)), "inner")
+        up = alike.join(inner.hint("merge"), mark).select(*(F.col(f"in_{c}").alias(c) for c in mark), (F.col("first") + F.col("shift")).alias("first"), (F.col("last") + F.col("shift")).alias("last"))
+        runs = pin(up.unionByName(whole_runs(distinct)), "runs")
+        for held in (alike, few, inner):
+            unpin(held)
         found = own.join(runs.hint("merge"), mark).select(*key, (F.col("low") + F.col("first")).alias("a"), (F.col("low") + F.col("last") + LENGTH).alias("b"))
         copies = self.classes.where(F.col("m") > 1).select(*key, F.lit(0).cast("long").alias("a"), F.length("x").cast("long").alias("b")).where(F.col("b") >= LENGTH)
         out = pin(found.unionByName(copies).groupBy(*key).agg(F.sort_array(F.collect_set(F.struct("a", "b"))).alias("cuts")), "ranges")
@@ -208,6 +252,14 @@ class Repeats:
             unpin(held)
         return out
 
+    @staticmethod
+    def rivals(own: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Distinct stretches with their counts and one place each; and those whose key has several."""
+        mark = ["h", "c1", "c2", "off"]
+        distinct = pin(own.groupBy(*mark).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k1", "k2", "low", "high")).alias("at")), "distinct")
+        several = distinct.groupBy("h").agg(F.count(F.lit(1)).alias("rivals")).where("rivals > 1").select("h")
+        return distinct, distinct.join(several.hint("merge"), "h").select(*mark, "at.*")
+
     def cut(self, schema: str, each) -> DataFrame:
         """``each(kept bytes, removed, spans)`` of every class, as columns after k1 and k2."""
 
@@ -215,7 +267,7 @@ class Repeats:
             rows = [each(*remove(t.as_py(), c.as_py())) for t, c in zip(x, cuts)]
             return k1, k2, *zip(*rows)
 
-        joined = self.classes.join(self.ranges.hint("merge"), ["k1", "k2"], "left").select("k1", "k2", "x", "cuts")
+        joined = self.classes.join(self.ranges.hint("shuffle_hash"), ["k1", "k2"], "left").select("k1", "k2", "x", "cuts")
         return mapped(joined, schema, run)
 
     def close(self) -> None:
@@ -250,6 +302,7 @@ def removal_report(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def kept_texts(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with the kept bytes as text; a character that a cut splits is dropped with it."""
-    found = Repeats(docs, text)
+    found = Repeats(packed(docs, [text]), text)
     told = found.cut("k1 long, k2 long, kept string", lambda kept, gone, spans: (kept.decode("utf-8", "ignore"),))
-    return found.keyed.join(told.hint("merge"), ["k1", "k2"]).withColumn(text, F.when(F.col(text).isNotNull(), F.col("kept"))).select(*docs.columns)
+    both = found.keyed.withColumn("is", F.col(text).isNotNull()).drop(text).join(told.hint("merge"), ["k1", "k2"])
+    return unpacked(both.withColumn(text, F.when(F.col("is"), F.col("kept"))), docs.columns, [text])
