@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import blocks, encoder, read_spec
-from .common import ranked
+from .common import pin, ranked
 
 CAPACITY = 4096
 END = 1
@@ -131,7 +131,8 @@ def places(plan: list[tuple[int, list[int]]]) -> np.ndarray:
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``pieces`` with ``sequence_id`` and ``offset``; each sequence holds at most ``capacity`` tokens, without gaps."""
-    placed = ranked(pieces, ["length"], [F.col("doc_id"), F.col("piece")], "_rank")
+    # dealing by range reads its input twice: tokens are counted once and written
+    placed = ranked(pin(pieces, "pieces"), ["length"], [F.col("doc_id"), F.col("piece")], "_rank")
     histogram = {r["length"]: r["n"] for r in placed.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     held = pieces.sparkSession.sparkContext.broadcast(places(plan_bins(histogram, capacity)))
     keep = list(pieces.schema.fields)
