@@ -388,8 +388,11 @@ def _(v: Views) -> DataFrame:
 
 @query("o_m4_exact_wilcoxon")
 def _(v: Views) -> DataFrame:
-    """Exact p over the method means of a dozen samples: the ranks of one small group."""
-    few = paired(v).orderBy("sample").limit(12).withColumn("g", F.lit(0)).withColumn("d", F.round(F.col("a") - F.col("b"), 6)).where("d <> 0")
+    """Exact p over twenty groups of files: the ranks of one small group."""
+    x = F.col("raw") / F.col("compressed")
+    mean = lambda k: F.avg(F.when(F.col("section") == k, x))
+    groups = v.bench.groupBy((F.col("file") % 20).alias("part")).agg(mean("1-URGENT").alias("a"), mean("5-LOW").alias("b"))
+    few = groups.withColumn("g", F.lit(0)).withColumn("d", F.round(F.col("a") - F.col("b"), 6)).where("d <> 0")
     ranked = few.withColumn("r", stats.average_rank(F.abs("d"), ["g"]))
     got = ranked.groupBy("g").agg(F.collect_list("r").alias("ranks"), F.sum(F.when(F.col("d") > 0, F.col("r")).otherwise(0.0)).alias("up"), F.sum("r").alias("all"))
     p = F.udf(lambda ranks, w: stats.exact_signed_rank_p(ranks, w), "double")
