@@ -17,13 +17,14 @@ fingerprint but is never a component's name; rows that repeat a doc_id are one d
 from __future__ import annotations
 
 import functools
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -153,8 +154,8 @@ def near_groups(docs: DataFrame, text: str = "text", size: int = 3, bits: int =
     return marked.join(of.hint("merge"), "fp").select("doc_id", "fp", "component_id")
 
 
-#: Of each of PRINTS fingerprints NEAR bits may differ in a candidate pair, of all together FAR.
-PRINTS, NEAR, FAR = 6, 13, 52
+#: Of each of PRINTS fingerprints NEAR bits may differ in a pair that is compared ahead of the others.
+PRINTS, NEAR = 6, 13
 
 
 def word_prints(own: list[bytes]) -> list[int]:
@@ -164,45 +165,66 @@ def word_prints(own: list[bytes]) -> list[int]:
     return [fingerprint(x) for x in h] if distinct else [0] * PRINTS
 
 
+def shingle_set(own: list[bytes], size: int) -> np.ndarray:
+    """Sorted distinct hashes; texts without words have one shingle in common."""
+    return np.unique(hashes(own, size).view(np.int64)) if own else np.zeros(1, np.int64)
+
+
+def least_common(n: int, least: float) -> int:
+    """So many shingles a set of ``n`` has in common with any that is ``least`` alike."""
+    return math.ceil(least * n - 1e-6)
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The same rows in small batches, so that a worker holds the shingles of few texts."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 def near_copies(docs: DataFrame, text: str = "text", size: int = 5, least: float = 0.8) -> DataFrame:
     """doc_id and component_id for documents whose text others repeat or nearly repeat (without those that stand alone).
 
-    Near means a Jaccard similarity of ``least`` or more between the sets of ``size``-word shingles.  Candidates share a
-    Golay key of one of PRINTS word fingerprints and lie within FAR bits over all of them; their similarity is then made
-    from the shingles themselves.  Rows without a doc_id are left out; rows that repeat one go with it."""
+    Near means a Jaccard similarity of ``least`` or more between the sets of ``size``-word shingles; no such pair is missed:
+
+    * Sets that have c in common have the first k of these among their first n - c + k in any order.  By the order of
+      the hashes, most texts have too few shingles there that stand in another text's, and are settled.
+    * Among the rest, each text is compared with the first one under each of its Golay keys.
+    * Two texts that this has not joined are compared if they share one of the first n - c + 1 shingles, rare ones first,
+      and if the shingles that stand in any second text suffice for ``least``.
+
+    Rows without a doc_id are left out; rows that repeat one go with it."""
     whole = F.coalesce(F.col(text), F.lit(""))
     own = docs.where("doc_id is not null").select("doc_id", F.xxhash64(whole).alias("k1"), F.xxhash64(F.lit(7), whole).alias("k2"), whole.alias("t"))
+    marked = pin(own.select("doc_id", "k1", "k2"), "marked")
+    first = marked.groupBy("k1", "k2").agg(F.min("doc_id").alias("first"))
 
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            f = np.array([word_prints(words(t.as_py())) for t in batch.column("t")], np.uint64).reshape(-1, PRINTS).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "k1", "k2")), pa.array(list(f), pa.list_(pa.int64()))], names=["doc_id", "k1", "k2", "f"])
+    def spare(n: int) -> int:
+        return 1 + int(least * n) // 8
 
-    marked = pin(own.mapInArrow(mark, "doc_id long, k1 long, k2 long, f array<long>"), "prints")
-    classes = pin(marked.groupBy("k1", "k2").agg(F.min("doc_id").alias("id"), F.first("f").alias("f")).select("id", "f"), "classes")
+    def low(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            sets = [shingle_set(words(t.as_py()), size) for t in batch.column("t")]
+            sizes = [len(x) for x in sets]
+            heads = [x[: n - least_common(n, least) + spare(n)] for x, n in zip(sets, sizes)]
+            count = [len(x) for x in heads]
+            k1, need = np.repeat(np.asarray(batch.column("k1")), count), np.repeat(np.array([spare(least_common(n, least)) for n in sizes], np.int64), count)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *heads])), pa.array(k1), pa.array(need)], names=["h", "k1", "need"])
 
-    def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, f = np.asarray(batch.column("id")), np.array(batch.column("f").to_pylist(), np.int64).view(np.uint64)
-            for j in range(PRINTS):
-                who, k = keys(np.ascontiguousarray(f[:, j]))
-                yield pa.RecordBatch.from_arrays([pa.array(k | np.int64(j) << 44), pa.array(ids[who]), pa.array(f[who, j].view(np.int64))], names=["key", "id", "f"])
-
-    keyed = classes.mapInArrow(key, "key long, id long, f long")
-    a = keyed.select("key", F.col("id").alias("a"), F.col("f").alias("fa"))
-    b = keyed.select("key", F.col("id").alias("b"), F.col("f").alias("fb"))
-    pairs = a.join(b.hint("merge"), (a["key"] == b["key"]) & (F.col("a") < F.col("b")) & (F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= NEAR)).select("a", "b").distinct()
-    left, right = classes.select(F.col("id").alias("a"), F.col("f").alias("fa")), classes.select(F.col("id").alias("b"), F.col("f").alias("fb"))
-    apart = F.aggregate(F.zip_with("fa", "fb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
-    near = pin(pairs.join(left, "a").join(right, "b").where(apart <= FAR).select("a", "b"), "pairs")
-    named = near.select(F.col("a").alias("doc_id")).unionByName(near.select(F.col("b").alias("doc_id"))).distinct()
+    w = Window.partitionBy("h")
+    heads = own.select("k1", "t").mapInArrow(low, "h long, k1 long, need long")
+    shared = heads.withColumns({"x": F.min("k1").over(w), "y": F.max("k1").over(w)}).where("x <> y")
+    alive = shared.groupBy("k1", "h").agg(F.first("need").alias("need")).groupBy("k1").agg(F.count(F.lit(1)).alias("n"), F.first("need").alias("need")).where("n >= need")
+    named = pin(first.join(alive, "k1").select(F.col("first").alias("doc_id"), "k1", "k2"), "named")
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [np.unique(hashes(words(t.as_py()), size).view(np.int64) >> 32).astype(np.int32) for t in batch.column("t")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.list_(pa.int32()))], names=["doc_id", "s"])
+        for batch in slices(batches):
+            texts = [words(t.as_py()) for t in batch.column("t")]
+            f = np.array([word_prints(x) for x in texts], np.uint64).reshape(-1, PRINTS).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("k1"), pa.array(list(f), pa.list_(pa.int64())), pa.array([shingle_set(x, size) for x in texts], pa.list_(pa.int64()))], names=["id", "k1", "f", "s"])
 
-    sets = pin(own.join(named, "doc_id", "left_semi").select("doc_id", "t").mapInArrow(gather, "doc_id long, s array<int>").dropDuplicates(["doc_id"]), "sets")
+    found = own.join(named, ["doc_id", "k1", "k2"], "left_semi").select("doc_id", "k1", "t")
+    sets = pin(found.mapInArrow(gather, "id long, k1 long, f array<long>, s array<long>").dropDuplicates(["id", "k1"]), "sets")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -213,12 +235,38 @@ def near_copies(docs: DataFrame, text: str = "text", size: int = 5, least: float
                 good.append(both >= least * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    sa, sb = sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb"))
-    links = near.join(sa, "a").join(sb, "b").mapInArrow(verify, "a long, b long")
-    first = marked.groupBy("k1", "k2").agg(F.min("doc_id").alias("first"))
+    def links(pairs: DataFrame) -> DataFrame:
+        sa, sb = sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), sets.select(F.col("id").alias("b"), F.col("s").alias("sb"))
+        return pin(pin(pairs, "pairs").join(sa, "a").join(sb, "b").select("a", "b", "sa", "sb").mapInArrow(verify, "a long, b long").distinct(), "links")
+
+    def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, f = np.asarray(batch.column("id")), np.array(batch.column("f").to_pylist(), np.int64).view(np.uint64).reshape(-1, PRINTS)
+            for j in range(PRINTS):
+                who, k = keys(np.ascontiguousarray(f[:, j]))
+                yield pa.RecordBatch.from_arrays([pa.array(k | np.int64(j) << 44), pa.array(ids[who]), pa.array(f[who, j].view(np.int64))], names=["key", "id", "f"])
+
+    keyed = sets.select("id", "f").mapInArrow(key, "key long, id long, f long")
+    hubs = keyed.groupBy("key").agg(F.min(F.struct("id", "f")).alias("hub"))
+    near = (F.col("hub.id") < F.col("id")) & (F.bit_count(F.col("hub.f").bitwiseXOR(F.col("f"))) <= NEAR)
+    ahead = links(keyed.join(hubs.hint("merge"), "key").where(near).select(F.col("hub.id").alias("a"), F.col("id").alias("b")).distinct())
     copies = marked.join(first.hint("merge"), ["k1", "k2"]).where("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
-    found = components(links.unionByName(copies), "a", "b")
-    return found.select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
+    up = ahead.groupBy("b").agg(F.min("a").alias("a"))
+    # texts with the same name here are joined already
+    tree = up.join(up.select(F.col("b").alias("a"), F.col("a").alias("top")), "a", "left").select(F.col("b").alias("node"), F.coalesce("top", "a").alias("tree"))
+
+    one = Window.partitionBy("id", "k1")
+    posted = sets.select("id", "k1", F.size("s").alias("n"), F.explode("s").alias("h")).withColumn("df", F.count(F.lit(1)).over(w)).where("df > 1")
+    posted = posted.withColumns({"common": F.count(F.lit(1)).over(one), "pos": F.row_number().over(one.orderBy("df", "h"))})
+    c = F.ceil(F.col("n") * least - 1e-6)
+    posted = posted.where((F.col("common") >= c) & (F.col("pos") <= F.col("common") - c + 1)).select("id", "h", "n", "common")
+    posted = pin(posted.join(tree, F.col("id") == F.col("node"), "left").select("id", "h", "n", "common", F.coalesce("tree", "id").alias("tree")), "posted")
+    a, b = (posted.select("h", *(F.col(x).alias(f"{x}_{y}") for x in ("id", "n", "common", "tree"))) for y in "ab")
+    enough = F.least("common_a", "common_b") * (1 + least) >= (F.col("n_a") + F.col("n_b")) * least - 1e-6
+    apart = (a["h"] == b["h"]) & (F.col("id_a") < F.col("id_b")) & (F.col("tree_a") != F.col("tree_b")) & enough
+    rest = links(a.join(b.hint("merge"), apart).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct())
+    out = components(ahead.unionByName(rest).unionByName(copies), "a", "b")
+    return out.select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
 
 
 def drop_copies(docs: DataFrame, text: str = "text") -> DataFrame:

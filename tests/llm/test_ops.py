@@ -500,3 +500,28 @@ def test_ranks_are_gapless(spark):
     for g in range(3):
         own = sorted((r["v"], r["id"], r["rank"]) for r in rows if r["g"] == g)
         assert [x[2] for x in own] == list(range(len(own)))
+
+
+def test_near_copies_with_cut_and_added_passages(spark):
+    r = random.Random(11)
+    texts = []
+    for k in range(60):
+        own = prose(r.randint(60, 400), 900 + k).split()
+        n = len(own)
+        cut = r.choice((0.1, 0.15, 0.18, 0.22))
+        texts += [own, own[int(cut * n) :], own + prose(int(cut * n), 2000 + k).split()]
+    texts = [" ".join(x) for x in texts] + ["", " "]
+    sets = [set(simhash.shingles(simhash.words(t), 5)) for t in texts]
+    up = list(range(len(texts)))
+
+    def root(i):
+        return i if up[i] == i else root(up[i])
+
+    for i, x in enumerate(sets):
+        for j in range(i):
+            if len(x & sets[j]) >= 0.8 * len(x | sets[j]):
+                a, b = sorted((root(i), root(j)))
+                up[b] = a
+    want = {i: root(i) for i in range(len(texts)) if sum(root(j) == root(i) for j in range(len(texts))) > 1}
+    got = simhash.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {x["doc_id"]: x["component_id"] for x in got} == want
