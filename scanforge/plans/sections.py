@@ -388,15 +388,13 @@ def _(v: Views) -> DataFrame:
 
 @query("o_m4_exact_wilcoxon")
 def _(v: Views) -> DataFrame:
-    """Exact p over twenty groups of files: the ranks of one small group."""
-    x = F.col("raw") / F.col("compressed")
-    mean = lambda k: F.avg(F.when(F.col("section") == k, x))
-    groups = v.bench.groupBy((F.col("file") % 20).alias("part")).agg(mean("1-URGENT").alias("a"), mean("5-LOW").alias("b"))
-    few = groups.withColumn("g", F.lit(0)).withColumn("d", F.round(F.col("a") - F.col("b"), 6)).where("d <> 0")
-    ranked = few.withColumn("r", stats.average_rank(F.abs("d"), ["g"]))
-    got = ranked.groupBy("g").agg(F.collect_list("r").alias("ranks"), F.sum(F.when(F.col("d") > 0, F.col("r")).otherwise(0.0)).alias("up"), F.sum("r").alias("all"))
+    """Exact p of the samples' pairs, in tables of 30 consecutive samples (the reference's has 30 files); no pair is left out."""
+    q = paired(v).select(F.floor((F.col("sample") - 1) / 30).cast("long").alias("part"), F.round(F.col("a") - F.col("b"), 6).alias("d"))
+    ranked = q.where("d <> 0").withColumn("r", stats.average_rank(F.abs("d"), ["part"]))
+    got = ranked.groupBy("part").agg(F.collect_list("r").alias("ranks"), F.sum(F.when(F.col("d") > 0, F.col("r")).otherwise(0.0)).alias("up"), F.sum("r").alias("all"))
     p = F.udf(lambda ranks, w: stats.exact_signed_rank_p(ranks, w), "double")
-    return got.select(F.size("ranks").alias("n"), F.round(p("ranks", F.least("up", F.col("all") - F.col("up"))), 6).alias("p_value"))
+    tested = got.select("part", F.size("ranks").cast("long").alias("n"), F.round(p("ranks", F.least("up", F.col("all") - F.col("up"))), 6).alias("p_value"))
+    return q.select("part").distinct().join(tested, "part", "left").select("part", F.coalesce("n", F.lit(0)).alias("n"), "p_value")
 
 
 @query("o_m5_rank_biserial", "bench", sql=", p as (select sample, avg(raw / compressed) filter (where section = '1-URGENT') as a, avg(raw / compressed) filter (where section = '5-LOW') as b from bench group by sample), z as (select d, rank() over (order by abs(d)) + (count(*) over (partition by abs(d)) - 1) / 2.0 as r from (select round(a - b, 6) as d from p where a is not null and b is not null) where d <> 0) select round((sum(r) filter (where d > 0) - sum(r) filter (where d < 0)) / sum(r), 6) as rank_biserial from z")

@@ -1,4 +1,6 @@
+import itertools
 import math
+import os
 import random
 
 import pandas as pd
@@ -7,6 +9,7 @@ from pyspark.sql import functions as F
 
 from scanforge.functions import numeric, stats
 from scanforge.operators import compare, encode, islands, matching, tables
+from scanforge.plans import catalog, sections  # noqa: F401
 from scanforge.sources.shared import ensure_checkpoint_dir
 
 
@@ -147,6 +150,23 @@ def test_rank_tests():
     assert stats.incomplete_beta(2.0, 0.5, 0.3) == pytest.approx(0.0378, abs=2e-3)
 
 
+@pytest.mark.parametrize("d", [[3, -1, 2, 2, -2, 5, 4], [1, 1, 1, -1], [-2.5], [1, 2, 3, 4, 5, -6, 7, -8, 9, 10]])
+def test_exact_signed_rank_is_brute_force(d):
+    size = [abs(x) for x in d]
+    ranks = [sum(y < x for y in size) + (size.count(x) + 1) / 2 for x in size]
+    w = min(sum(r for r, x in zip(ranks, d) if x > 0), sum(r for r, x in zip(ranks, d) if x < 0))
+    signs = itertools.product((0, 1), repeat=len(d))
+    tail = sum(min(s, sum(ranks) - s) <= w for s in (sum(r for r, k in zip(ranks, z) if k) for z in signs))
+    assert stats.exact_signed_rank_p(ranks, w) == pytest.approx(min(1, tail / 2 ** len(d)))
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_exact_wilcoxon_takes_every_pair(spark):
+    run = lambda name: catalog.QUERIES[name](spark, "/root/testdata/sf0.001").toPandas()
+    exact = run("o_m4_exact_wilcoxon")
+    assert exact.n.sum() == run("o_m3_wilcoxon_w").n[0] and exact.n.max() <= 30
+
+
 def test_latest_and_upsert(spark):
     old = spark.createDataFrame([(1, "a"), (2, "b")], "id long, v string")
     new = spark.createDataFrame([(2, "c"), (3, "d")], "id long, v string")
