@@ -22,7 +22,7 @@ import heapq
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ranked, unpacked, unpin
+from .common import drop_path, ranked, unpacked, unpin
 
 BLOCKS = 16
 
@@ -170,6 +170,12 @@ def rewrite_affected(placed: DataFrame, path: str) -> list[int]:
     """Write, sorted by slot, the shards that lose or gain rows; return their numbers.  The others keep their files."""
     moves = placed.where("old_shard <> shard").select(F.explode(F.array("old_shard", "shard")).alias("x")).distinct()
     affected = sorted(r["x"] for r in moves.collect())
-    live = placed.where(F.col("shard").isin(affected)) if affected else placed.where(F.lit(False))
-    live.repartition("shard").sortWithinPartitions("shard", "slot").write.mode("overwrite").partitionBy("shard").parquet(path)
+    if not affected:
+        return []
+    live = placed.where(F.col("shard").isin(affected))
+    live.repartition("shard").sortWithinPartitions("shard", "slot").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
+    filled = {r["shard"] for r in live.select("shard").distinct().collect()}
+    for x in affected:
+        if x not in filled:
+            drop_path(placed.sparkSession, f"{path}/shard={x}")
     return affected

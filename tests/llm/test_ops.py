@@ -80,6 +80,17 @@ def test_reshard_law(spark, docs, empty, tmp_path):
     assert set(touched) == {x for r in rows if r["old_shard"] != r["shard"] for x in (r["old_shard"], r["shard"])}
 
 
+def test_rewrite_keeps_other_shards(spark, tmp_path):
+    path = f"file://{tmp_path}/shards"
+    rows = [(i, old, new, i) for i, (old, new) in enumerate([(0, 0), (0, 0), (1, 1), (1, 2), (2, 2), (3, 1)])]
+    placed = spark.createDataFrame(rows, "doc_id long, old_shard int, shard int, slot long")
+    placed.withColumn("shard", F.col("old_shard")).write.partitionBy("shard").parquet(path)
+    kept = sorted(f.name for f in (tmp_path / "shards" / "shard=0").glob("*.parquet"))
+    assert reshard.rewrite_affected(placed, path) == [1, 2, 3]
+    assert sorted((r["doc_id"], r["shard"]) for r in spark.read.parquet(path).collect()) == [(i, new) for i, _, new, _ in rows]
+    assert sorted(f.name for f in (tmp_path / "shards" / "shard=0").glob("*.parquet")) == kept
+
+
 # ------------------------------------------------------------------ op 2
 
 
