@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-_written: list[str] = []
+#: What each open scope has written: paths and names of tables.  The first is that of callers without a scope.
+_scopes: list[list[str]] = [[]]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,12 +24,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (``spark.checkpoint.dir``); a temporary one only where none is named."""
+    """The folder all executors share (``spark.checkpoint.dir``); a temporary one only where none is named and Spark is local."""
     held = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not held:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         if found.isDefined():
             return found.get()
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         held = "file://" + tempfile.mkdtemp(prefix="scanforge-")
         spark.sparkContext.setCheckpointDir(held)
     return held
@@ -29,7 +40,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, what: str) -> str:
     path = f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
-    _written.append(path)
+    _scopes[-1].append(path)
     return path
 
 
@@ -45,14 +56,29 @@ def pin(df: DataFrame, what: str = "table") -> DataFrame:
     return out
 
 
-def drop_path(spark: SparkSession, path: str | None) -> None:
-    if not path:
+def held_table(df: DataFrame, what: str, buckets: int, key: list[str]) -> str:
+    """Write ``df`` to the shared folder as a table bucketed by ``key``; name@path, for ``drop_path``."""
+    name = f"{what}_{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession, what)
+    df.write.option("path", path).bucketBy(buckets, *key).format("parquet").saveAsTable(name)
+    _scopes[-1][-1] = f"{name}@{path}"
+    return _scopes[-1][-1]
+
+
+def drop_path(spark: SparkSession, what: str | None) -> None:
+    """Remove the files of a path, or those and the entry of a bucketed table (name@path)."""
+    if not what:
         return
+    for held in _scopes:
+        if what in held:
+            held.remove(what)
+    name, at, path = what.partition("@")
+    if at and "/" not in name:
+        spark.sql(f"drop table if exists {name}")
+        what = path
     jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-    if path in _written:
-        _written.remove(path)
+    place = jvm.org.apache.hadoop.fs.Path(what)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def unpin(df: DataFrame) -> None:
@@ -60,10 +86,54 @@ def unpin(df: DataFrame) -> None:
     drop_path(df.sparkSession, getattr(df, "_scanforge_path", None))
 
 
-def release(spark: SparkSession) -> None:
-    """Remove every pinned table of this process.  For callers whose results are already written elsewhere."""
-    for path in list(_written):
-        drop_path(spark, path)
+@contextlib.contextmanager
+def scope(spark: SparkSession) -> Iterator[Callable[[], None]]:
+    """Pinned tables made within belong to the scope; the call it gives removes them, once the results that read them are
+    written.  Tables made outside stay."""
+    own: list[str] = []
+    _scopes.append(own)
+
+    def release() -> None:
+        while own:
+            drop_path(spark, own.pop())
+
+    try:
+        yield release
+    finally:
+        _scopes[:] = [x for x in _scopes if x is not own]
+
+
+def lean(run: Callable) -> Callable:
+    """``run`` for mapInArrow, giving freed memory back to the system when its rows are through (workers are reused)."""
+
+    @functools.wraps(run)
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return bounded
+
+
+def trim() -> None:
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def byte_slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """The same rows in slices of about ``most`` bytes of ``column`` (one row at least), whatever a batch holds."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        stop = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), np.int64) + 64)
+        low = 0
+        while low < batch.num_rows:
+            done = stop[low - 1] if low else 0
+            high = max(low + 1, int(np.searchsorted(stop, done + most, side="right")))
+            yield batch.slice(low, high - low)
+            low = high
 
 
 def packed(docs: DataFrame, own: list[str]) -> DataFrame:

@@ -1,274 +1,420 @@
 """Suffix order and common prefixes of a shard by external induced sorting.
 
-The shard is a set of byte strings, each closed by an end mark that no comparison passes.  Suffixes are of type L or S
-as they are larger or smaller than the one to their right; those S suffixes whose left neighbour is L are the seeds.
-Seeds are ordered by recursion: one induction orders the seed substrings, which are named by rank, and the string of
-names is sorted in turn (by doubling, as it is a third of the length and its alphabet is large).  A second induction
-carries the seeds' order to all suffixes: scanning suffixes in order, each tuple (suffix, place in the scan) puts its
-left neighbour into the priority queue of the neighbour's first byte.  Tuples enter a queue in increasing order of
-their keys, so a queue is a run that is only appended to and read once; one that outgrows the buffer goes to a scratch
-file of the task.  Common-prefix values travel along: two neighbours in a queue share one byte more than their sources,
-whose own value is a minimum over the scan between them.  A whole queue is a numpy batch; suffixes that stay within
-their queue follow in further batches, one for each repetition of the byte.
+The shard is a string of small numbers in which every stretch is closed by an end mark (0) that no comparison passes.
+Suffixes are large or small as they stand after or before the one to their right; small suffixes whose left neighbour
+is large are the seeds.  One induction orders the pieces between seeds, equal pieces get one name, and the string of
+names is sorted by the same procedure, spelled in two digits so that there is one queue for each digit.  A second
+induction carries the seeds' order to all suffixes.
+
+An induction scans suffixes in order and puts each one's left neighbour into the queue of the neighbour's symbol.  Tuples
+enter a queue in the order in which they leave it, so a queue is a run that is appended to and read once; all of them
+together hold ``buffer`` tuples in memory, the rest lies in scratch files of the task.  A tuple is a suffix with its common
+prefix with the one queued before it: one more than the least common prefix that was scanned between their sources,
+which is kept for every queue while scanning.  Equal pieces have an endless common prefix in the first induction; the
+finite ones are those of different names, and the recursion adds the lengths of the names that agree.
+
+The text, names and orders are arrays in memory up to ``buffer`` items and scratch files beyond it, read in slices, so
+memory does not grow with the shard.
 """
 
 from __future__ import annotations
 
+import math
 import os
 import shutil
 import tempfile
+from collections.abc import Iterator
 
 import numpy as np
 
-MARKS = 257
+ENDLESS = 1 << 29
+#: Strings of at most so many names are ordered at once, without another recursion.
+FEW = 1 << 18
+SLICE = 1 << 16
+MARK, LARGE, SMALL = 0, 1, 2
 
 
-class Queues:
-    """One queue of (suffix, place in the scan) for each first byte; beyond ``buffer`` tuples they lie in scratch files."""
+class Scratch:
+    """Arrays in memory up to ``buffer`` items, in files of a folder of the task beyond it."""
 
     def __init__(self, buffer: int):
-        self.buffer, self.held, self.n, self.dir = buffer, [[] for _ in range(MARKS)], 0, None
-        self.spilled = 0
-
-    def push(self, char: np.ndarray, suffix: np.ndarray, place: np.ndarray) -> None:
-        order = np.argsort(char, kind="stable")
-        char = char[order]
-        pair = np.stack([suffix[order], place[order]])
-        cut = np.flatnonzero(np.r_[True, char[1:] != char[:-1]])
-        for a, b in zip(cut, np.r_[cut[1:], len(char)]):
-            self.held[char[a]].append(pair[:, a:b])
-        self.n += len(char)
-        if self.n > self.buffer:
-            self.spill()
-
-    def spill(self) -> None:
+        self.buffer, self.dir, self.files, self.spilled = max(buffer, 1), None, 0, 0
+
+    def path(self) -> str:
         self.dir = self.dir or tempfile.mkdtemp(prefix="induced-")
-        for c, parts in enumerate(self.held):
-            own = [p for p in parts if not isinstance(p, int)]
-            if own:
-                with open(os.path.join(self.dir, str(c)), "ab") as f:
-                    for p in own:
-                        np.ascontiguousarray(p.T, np.int32).tofile(f)
-                        self.spilled += p.shape[1]
-                self.held[c] = [0]
-        self.n = 0
-
-    def pop(self, c: int) -> tuple[np.ndarray, np.ndarray]:
-        parts, self.held[c] = self.held[c], []
-        if parts and isinstance(parts[0], int):
-            path = os.path.join(self.dir, str(c))
-            old = np.fromfile(path, np.int32).reshape(-1, 2).T
-            os.remove(path)
-            parts[0] = old
-        if not parts:
-            return np.zeros(0, np.int32), np.zeros(0, np.int32)
-        both = np.concatenate(parts, 1)
-        return both[0], both[1]
+        self.files += 1
+        return os.path.join(self.dir, str(self.files))
+
+    def array(self, n: int, dtype) -> np.ndarray:
+        if n <= self.buffer:
+            return np.zeros(n, dtype)
+        self.spilled += n
+        return np.memmap(self.path(), dtype, "w+", shape=(n,))
 
     def close(self) -> None:
         if self.dir:
             shutil.rmtree(self.dir, ignore_errors=True)
 
 
-def kinds(text: np.ndarray) -> np.ndarray:
-    """True for S suffixes."""
-    change = np.flatnonzero(text[1:] != text[:-1])
-    rising = text[change] < text[change + 1]
-    out = np.zeros(len(text), bool)
-    run = np.diff(np.r_[-1, change])
-    out[: change[-1] + 1 if len(change) else 0] = np.repeat(rising, run)
-    out[-1] = True  # the last end mark
+class Run:
+    """Rows of int32 columns that are appended, then read by slices."""
+
+    def __init__(self, scratch: Scratch, width: int):
+        self.scratch, self.width, self.held, self.n, self.n_held, self.path = scratch, width, [], 0, 0, None
+
+    def add(self, rows: np.ndarray) -> None:
+        self.held.append(np.ascontiguousarray(rows, np.int32).reshape(-1, self.width))
+        self.n += len(rows)
+        self.n_held += len(rows)
+        if self.n_held > self.scratch.buffer:
+            self.flush()
+
+    def flush(self) -> None:
+        self.path = self.path or self.scratch.path()
+        with open(self.path, "ab") as f:
+            for x in self.held:
+                x.tofile(f)
+        self.scratch.spilled += self.n_held
+        self.held, self.n_held = [], 0
+
+    def done(self) -> np.ndarray:
+        """All rows, as an array or a mapped file."""
+        if self.path:
+            self.flush()
+            return np.memmap(self.path, np.int32, "r", shape=(self.n, self.width))
+        return np.concatenate(self.held) if self.held else np.zeros((0, self.width), np.int32)
+
+
+class Queues:
+    """A queue of (suffix, common prefix) for each symbol, and the least common prefix scanned since its last tuple."""
+
+    def __init__(self, scratch: Scratch, symbols: int):
+        self.scratch, self.held, self.n = scratch, [[] for _ in range(symbols)], 0
+        self.paths, self.read = {}, {}
+        self.least = np.full(symbols, -1, np.int32)
+
+    def put(self, symbol: np.ndarray, rows: np.ndarray) -> None:
+        """``rows`` into the queues of ``symbol``, which is in order."""
+        cut = np.flatnonzero(np.r_[True, symbol[1:] != symbol[:-1]])
+        for c, a, b in zip(symbol[cut].tolist(), cut.tolist(), [*cut[1:].tolist(), len(symbol)]):
+            self.held[c].append(rows[a:b])
+        self.n += len(symbol)
+        if self.n > self.scratch.buffer:
+            for c, parts in enumerate(self.held):
+                if parts:
+                    if c not in self.paths:
+                        self.paths[c], self.read[c] = self.scratch.path(), 0
+                    with open(self.paths[c], "ab") as f:
+                        for x in parts:
+                            np.ascontiguousarray(x, np.int32).tofile(f)
+                    self.held[c] = []
+            self.scratch.spilled += self.n
+            self.n = 0
+
+    def deal(self, symbol: np.ndarray, rows: np.ndarray) -> None:
+        order = np.argsort(symbol, kind="stable")
+        if len(order):
+            self.put(symbol[order], rows[order])
+
+    def scan(self, lcp: np.ndarray, who: np.ndarray, symbol: np.ndarray, left: np.ndarray) -> None:
+        """Suffixes with common prefixes ``lcp`` were scanned; those at ``who`` queue ``left`` under ``symbol``."""
+        if not len(who):
+            np.minimum(self.least, lcp.min(), out=self.least)
+            return
+        order = np.argsort(symbol, kind="stable")
+        symbol, at = symbol[order], who[order]
+        first = np.r_[True, symbol[1:] != symbol[:-1]]
+        low = np.r_[0, at[:-1] + 1]
+        low[first] = 0
+        value = least_between(lcp, low, at)
+        head = np.flatnonzero(first)
+        own = symbol[head]
+        value[head] = np.minimum(value[head], self.least[own])
+        after = np.r_[np.minimum.accumulate(lcp[::-1])[::-1], np.int32(ENDLESS)]
+        np.minimum(self.least, after[0], out=self.least)
+        self.least[own] = after[at[np.r_[head[1:], len(at)] - 1] + 1]
+        value = np.where(value < 0, 0, np.minimum(value + 1, ENDLESS))
+        self.put(symbol, np.stack([left[order], value.astype(np.int32)], 1))
+
+    def pop(self, c: int) -> np.ndarray | None:
+        """The next rows of a queue, None if it is empty."""
+        if c in self.paths:
+            got = np.fromfile(self.paths[c], np.int32, 2 * SLICE, offset=8 * self.read[c]).reshape(-1, 2)
+            self.read[c] += len(got)
+            if len(got):
+                return got
+            os.remove(self.paths.pop(c))
+        parts, self.held[c] = self.held[c], []
+        if not parts:
+            return None
+        got = parts[0] if len(parts) == 1 else np.concatenate(parts)
+        self.n -= len(got)
+        return got
+
+
+def least_between(x: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Minimum of x[low..high] for each pair."""
+    out = np.empty(len(low), np.int32)
+    step = np.frexp((high - low + 1).astype(np.float64))[1] - 1
+    for k in range(int(step.max()) + 1 if len(step) else 0):
+        mine = np.flatnonzero(step == k)
+        out[mine] = np.minimum(x[low[mine]], x[high[mine] - (1 << k) + 1])
+        x = np.minimum(x[: -(1 << k)], x[1 << k :])
     return out
 
 
-def run_lengths(text: np.ndarray) -> np.ndarray:
-    stop = np.flatnonzero(np.r_[text[1:] != text[:-1], True])
-    size = np.diff(np.r_[-1, stop])
-    return (np.repeat(stop, size) - np.arange(len(text)) + 1).astype(np.int32)
-
-
-def induce(text: np.ndarray, small: np.ndarray, seeds: np.ndarray, seed_lcp: np.ndarray | None, buffer: int) -> tuple[np.ndarray, np.ndarray | None]:
-    """All suffixes in order from ordered ``seeds``, and their common prefixes with the suffix before, if the seeds' are known."""
-    n = len(text)
-    runs = run_lengths(text)
-    by_char = np.searchsorted(text[seeds], np.arange(MARKS + 1))
-    carry = seed_lcp is not None
-    large: list[np.ndarray] = [None] * MARKS
-    large_lcp: list[np.ndarray] = [None] * MARKS
-
-    def sweep(queue: Queues, want_small: bool, chars) -> tuple[list, list]:
-        """Scan queues in the order of ``chars``; what is not queued itself comes from seeds or from the large suffixes."""
-        scanned_lcp = np.zeros(n + len(seeds) + 1, np.int32)
-        at = 0
-        out: list[np.ndarray] = [None] * MARKS
-        out_lcp: list[np.ndarray] = [None] * MARKS
-
-        def scan(items: np.ndarray, lcp: np.ndarray | None, c: int) -> tuple[np.ndarray, np.ndarray]:
-            """Give places to items, queue their left neighbours, and return those that stay in this queue."""
-            nonlocal at
-            place = np.arange(at, at + len(items), dtype=np.int32)
-            if carry:
-                scanned_lcp[at : at + len(items)] = lcp
-            at += len(items)
-            left = items - 1
-            ok = (left >= 0) & (small[left] == want_small) & (text[left] > 0)
-            left, place = left[ok].astype(np.int32), place[ok]
-            char = text[left]
-            here = char == c
-            if not here.all():
-                queue.push(char[~here], left[~here], place[~here])
-            return left[here], place[here]
-
-        def between(place: np.ndarray, first: int) -> np.ndarray:
-            """Common prefixes of a batch whose sources stand at ``place``; the first one's is given."""
-            out_ = np.full(len(place), first, np.int32)
-            if len(place) > 1:
-                out_[1:] = 1 + np.minimum.reduceat(scanned_lcp[: place[-1] + 1], place[:-1] + 1)
-            return out_
-
-        for c in chars:
-            items, place = queue.pop(c)
-            parts, lcps, turn = [], [], 0
-            while len(items):
-                lcp = between(place, turn) if carry else None
-                parts.append(items)
-                lcps.append(lcp)
-                items, place = scan(items, lcp, c)
-                turn += 1
-            got = np.concatenate(parts) if parts else np.zeros(0, np.int32)
-            out[c] = got
-            out_lcp[c] = np.concatenate(lcps) if carry and parts else np.zeros(0, np.int32)
-            if want_small:
-                more, more_lcp = large[c][::-1], None
-                if carry and len(more):
-                    # downwards, the value of a suffix is that of the one above it
-                    seam = min(runs[more[0]], runs[got[-1]]) if len(got) else 0
-                    more_lcp = np.r_[np.int32(seam), large_lcp[c][:0:-1]]
-            else:
-                more, more_lcp = seeds[by_char[c] : by_char[c + 1]], None
-                if carry and len(more):
-                    more_lcp = seed_lcp[by_char[c] : by_char[c + 1]].copy()
-                    more_lcp[0] = min(runs[got[-1]], runs[more[0]]) if len(got) else 0
-            if len(more):
-                scan(more, more_lcp, -1)
-        return out, out_lcp
-
-    up, down = Queues(buffer), Queues(buffer)
-    try:
-        large[:], large_lcp[:] = sweep(up, False, range(MARKS))
-        few, few_lcp = sweep(down, True, range(MARKS - 1, -1, -1))
-    finally:
-        up.close()
-        down.close()
-    marks = seeds[: by_char[1]]
-    order, lcp = [marks], [np.zeros(len(marks), np.int32)]
-    for c in range(1, MARKS):
-        s = few[c][::-1]
-        order += [large[c], s]
-        if carry:
-            seam = np.int32(min(runs[large[c][-1]], runs[s[0]]) if len(s) and len(large[c]) else 0)
-            lcp += [large_lcp[c], np.r_[seam, few_lcp[c][:0:-1]] if len(s) else s]
-    return np.concatenate(order), np.concatenate(lcp) if carry else None
-
-
-def by_doubling(names: np.ndarray) -> np.ndarray:
-    """Order of the suffixes of a string whose last symbols are unique, by doubling the compared length."""
-    rank, step = names.astype(np.int64), 1
-    n = len(rank)
-    order = np.argsort(rank, kind="stable")
-    while True:
-        sorted_ = rank[order]
-        tied = np.zeros(n, bool)
-        same = sorted_[1:] == sorted_[:-1]
-        tied[1:] |= same
-        tied[:-1] |= same
-        if not tied.any():
-            return order
-        # only ties are sorted again, each within its own stretch
-        place = np.flatnonzero(tied)
-        who = order[place]
-        second = np.where(who + step < n, rank[np.minimum(who + step, n - 1)], -1)
-        again = np.lexsort((second, rank[who]))
-        who, first, second = who[again], rank[who][again], second[again]
-        order[place] = who
-        fresh = np.r_[True, (first[1:] != first[:-1]) | (second[1:] != second[:-1])]
-        # a rank is the place of the first of its equals
-        new = place[np.maximum.accumulate(np.where(fresh, np.arange(len(place)), 0))]
-        base = np.empty(n, np.int64)
-        base[order] = np.maximum.accumulate(np.where(np.r_[True, ~same], np.arange(n), 0))
-        base[who] = new
-        rank = base
-        step *= 2
+class Least:
+    """Minima over ranges of a long array: of whole blocks by a table, of their ends by running minima."""
+
+    BLOCK = 64
+
+    def __init__(self, x: np.ndarray, scratch: Scratch):
+        n, b = len(x), self.BLOCK
+        blocks = -(-n // b)
+        self.x, self.up, self.down = x, scratch.array(blocks * b, np.int32), scratch.array(blocks * b, np.int32)
+        whole = np.full(blocks, ENDLESS, np.int32)
+        wide = max(1, SLICE // b)
+        for a in range(0, blocks, wide):
+            part = np.full(min(wide, blocks - a) * b, ENDLESS, np.int32)
+            own = x[a * b : a * b + len(part)]
+            part[: len(own)] = own
+            part = part.reshape(-1, b)
+            self.up[a * b : a * b + part.size] = np.minimum.accumulate(part, 1).ravel()
+            self.down[a * b : a * b + part.size] = np.minimum.accumulate(part[:, ::-1], 1)[:, ::-1].ravel()
+            whole[a : a + len(part)] = part.min(1)
+        self.whole = whole
+
+    def between(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        out = np.minimum(self.down[low], self.up[high])
+        a, b = low // self.BLOCK + 1, high // self.BLOCK - 1
+        far = np.flatnonzero(a <= b)
+        if len(far):
+            out[far] = np.minimum(out[far], least_between(self.whole, a[far], b[far]))
+        near = np.flatnonzero(a == b + 2)  # both ends in one block
+        if len(near):
+            at, stop = low[near], high[near]
+            best = self.x[at].astype(np.int32)
+            for _ in range(int((stop - at).max())):
+                at = np.minimum(at + 1, stop)
+                np.minimum(best, self.x[at], out=best)
+            out[near] = best
+        return out
+
+
+def seed_places(text: np.ndarray) -> Iterator[np.ndarray]:
+    """Rows (place, repetitions of its symbol) of the seeds and end marks, in text order."""
+    n, a, was_small = len(text), 0, True
+    while a < n:
+        e = min(a + SLICE, n)
+        while e < n and text[e] == text[e - 1]:
+            e += 1
+        x = np.asarray(text[a:e])
+        stop = np.flatnonzero(np.r_[x[1:] != x[:-1], True])
+        after = np.r_[x[stop[:-1] + 1], text[e] if e < n else 1]
+        small = np.repeat(x[stop] < after, np.diff(np.r_[-1, stop]))
+        seed = small & ~np.r_[was_small, small[:-1]]
+        at = np.flatnonzero(seed | (x == 0))
+        yield np.stack([at + a, stop[np.searchsorted(stop, at)] - at + 1], 1).astype(np.int32)
+        was_small, a = bool(small[-1]), e
+
+
+def run_length(text: np.ndarray, at: int) -> int:
+    stop = at + 1
+    while text[stop] == text[at]:
+        stop += 1
+    return stop - at
+
+
+def seam(text: np.ndarray, a: int | None, b: int | None) -> int:
+    """Common prefix of the last large and the first small suffix of a symbol."""
+    return 0 if a is None or b is None else min(run_length(text, a), run_length(text, b))
+
+
+def backwards(rows: np.ndarray, low: int, high: int, first: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows high-1 down to low; each gets the common prefix that the row above it names."""
+    for b in range(high, low, -SLICE):
+        a = max(low, b - SLICE)
+        lcp = np.r_[rows[a + 1 : b, 1], first if b == high else rows[b, 1]].astype(np.int32)
+        yield np.asarray(rows[a:b, 0])[::-1], lcp[::-1]
+
+
+def induce(text: np.ndarray, symbols: int, seeds: np.ndarray, bounds: np.ndarray, scratch: Scratch) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """All suffixes in order with their common prefixes, from ordered ``seeds``; ``bounds`` says where a symbol's begin."""
+    large, large_at = Run(scratch, 2), [0]
+    queue = Queues(scratch, symbols)
+
+    def scanned(items: np.ndarray, lcp: np.ndarray, low: int, high: int) -> None:
+        symbol = text[items - 1]
+        who = np.flatnonzero((symbol >= low) & (symbol <= high))
+        queue.scan(lcp, who, symbol[who], items[who] - 1)
+
+    for c in range(symbols):
+        last = None
+        while (got := queue.pop(c)) is not None:
+            large.add(got)
+            scanned(got[:, 0], got[:, 1], c, symbols)
+            last = int(got[-1, 0])
+        large_at.append(large.n)
+        for a in range(bounds[c], bounds[c + 1], SLICE):
+            got = np.array(seeds[a : min(a + SLICE, bounds[c + 1])])
+            if a == bounds[c]:
+                got[0, 1] = seam(text, last, int(got[0, 0]))
+            scanned(got[:, 0], got[:, 1], max(c, 1), symbols)
+    large = large.done()
+    small, small_at = Run(scratch, 2), {}
+    queue = Queues(scratch, symbols)
+    for c in range(symbols - 1, 0, -1):
+        begin, last = small.n, None
+        while (got := queue.pop(c)) is not None:
+            small.add(got)
+            scanned(got[:, 0], got[:, 1], 1, c)
+            last = int(got[-1, 0])
+        small_at[c] = (begin, small.n)
+        low, high = large_at[c], large_at[c + 1]
+        if low < high:
+            for items, lcp in backwards(large, low, high, seam(text, int(large[high - 1, 0]), last)):
+                scanned(items, lcp, 1, c - 1)
+    small = small.done()
+    for a in range(0, bounds[1], SLICE):
+        got = np.asarray(seeds[a : min(a + SLICE, bounds[1])])
+        yield got[:, 0], np.zeros(len(got), np.int32), MARK
+    for c in range(1, symbols):
+        for a in range(large_at[c], large_at[c + 1], SLICE):
+            got = np.asarray(large[a : min(a + SLICE, large_at[c + 1])])
+            yield got[:, 0], got[:, 1], LARGE
+        low, high = small_at[c]
+        if low < high:
+            last = int(large[large_at[c + 1] - 1, 0]) if large_at[c] < large_at[c + 1] else None
+            for items, lcp in backwards(small, low, high, seam(text, last, int(small[high - 1, 0]))):
+                yield items, lcp, SMALL
+
+
+def chosen(lcp: np.ndarray, at: np.ndarray, carry: int) -> tuple[np.ndarray, int]:
+    """Common prefixes of the rows at ``at``, each with the chosen row before it, and what is carried to the next slice."""
+    if not len(at):
+        return np.zeros(0, np.int32), min(carry, int(lcp.min(initial=ENDLESS)))
+    out = np.minimum.reduceat(lcp[: at[-1] + 1], np.r_[0, at[:-1] + 1])
+    out[0] = min(int(out[0]), carry)
+    return out, int(lcp[at[-1] + 1 :].min(initial=ENDLESS))
+
+
+def suffixes(text: np.ndarray, symbols: int, scratch: Scratch) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """(suffixes, common prefix of each with the one before, kind) in order, in slices, end marks first.
+
+    ``text`` has numbers below ``symbols`` and ends with a mark; marks differ from each other."""
+    places, count, kinds = Run(scratch, 1), np.zeros(symbols, np.int64), np.zeros(0, np.int32)
+    for rows in seed_places(text):
+        places.add(rows[:, :1])
+        count += np.bincount(text[rows[:, 0]], minlength=symbols)
+        kinds = np.union1d(kinds, rows[:, 1])
+    places, bounds = places.done()[:, 0], np.r_[0, np.cumsum(count)]
+    # by symbol, and the more of it the smaller; those that stand alike count as equal
+    by_run, by_symbol = Queues(scratch, len(kinds)), Queues(scratch, symbols)
+    for rows in seed_places(text):
+        by_run.deal(len(kinds) - 1 - np.searchsorted(kinds, rows[:, 1]), rows)
+    for k in range(len(kinds)):
+        while (rows := by_run.pop(k)) is not None:
+            by_symbol.deal(text[rows[:, 0]], rows)
+    seeds = Run(scratch, 2)
+    for c in range(symbols):
+        run = 0
+        while (rows := by_symbol.pop(c)) is not None:
+            before = np.r_[np.int32(run), rows[:-1, 1]]
+            lcp = np.where(rows[:, 1] == before, ENDLESS, rows[:, 1])
+            if not run or not c:
+                lcp[: len(lcp) if not c else 1] = 0
+            seeds.add(np.stack([rows[:, 0], lcp], 1))
+            run = int(rows[-1, 1])
+    # the pieces between seeds, in order; those with an endless common prefix are equal
+    names, name_lcp, ordered, last, carry = scratch.array(len(places), np.int32), Run(scratch, 1), Run(scratch, 2), -1, ENDLESS
+    for items, lcp, kind in induce(text, symbols, seeds.done(), bounds, scratch):
+        if kind == LARGE:
+            carry = min(carry, int(lcp.min()))
+            continue
+        own = np.arange(len(items)) if kind == MARK else np.flatnonzero(text[items - 1] > text[items])
+        value, carry = chosen(lcp, own, carry)
+        if len(own):
+            fresh = value < ENDLESS
+            name = last + np.cumsum(fresh)
+            names[np.searchsorted(places, items[own])] = name
+            name_lcp.add(value[fresh])
+            ordered.add(np.stack([items[own], value], 1))
+            last = int(name[-1])
+    if last + 1 < len(places):
+        ordered = by_names(places, names, last + 1, name_lcp.done()[:, 0], scratch)
+    yield from induce(text, symbols, ordered.done(), bounds, scratch)
+
+
+def by_names(places: np.ndarray, names: np.ndarray, kinds: int, name_lcp: np.ndarray, scratch: Scratch) -> Run:
+    """Seeds in the order of the string of their names, with common prefixes in symbols of the text."""
+    out, least, before = Run(scratch, 2), Least(name_lcp, scratch), np.zeros(0, np.int64)
+    for at, agree in (at_once if len(names) <= FEW else by_digits)(names, kinds, scratch):
+        prev = np.r_[before, at][-len(at) - 1 : -1].astype(np.int64)
+        lcp = np.zeros(len(at), np.int32)
+        here = slice(len(at) - len(prev), None)  # the first of all has none before it
+        a, b = prev + agree[here], at[here] + agree[here]
+        lcp[here] = places[b] - places[at[here]] + least.between(names[a].astype(np.int64) + 1, names[b].astype(np.int64))
+        out.add(np.stack([places[at], lcp], 1))
+        before = at[-1:]
+    return out
 
 
-def common_prefix(raw: np.ndarray, rest: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
-    """Common prefix of suffixes a and b, up to ``most`` bytes and never past an end mark."""
-    pad = np.r_[raw, np.zeros(most + 16, np.uint8)]
-    word = np.ndarray((len(pad) - 7,), "<u8", pad, 0, (1,))
-    out = np.zeros(len(a), np.int32)
-    live = np.arange(len(a))
-    for low in range(0, most, 8):
-        x = word[a[live] + low] ^ word[b[live] + low]
-        low_bit = x & (~x + np.uint64(1))
-        same = np.where(x == 0, 8, np.log2(np.maximum(low_bit, np.uint64(1)).astype(np.float64)).astype(np.int32) // 8)
-        out[live] += same.astype(np.int32)
-        live = live[x == 0]
-        live = live[out[live] < np.minimum(rest[a[live]], rest[b[live]])]
-        if not len(live):
+def by_digits(names: np.ndarray, kinds: int, scratch: Scratch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The recursion: places in the string of names, in order, and how many names agree with the one before."""
+    base = max(256, math.isqrt(kinds - 1) + 1)
+    text = scratch.array(2 * len(names) + 1, np.int16)
+    for a in range(0, len(names), SLICE):
+        part = names[a : a + SLICE]
+        text[2 * a : 2 * (a + len(part))] = np.stack([part // base, part % base], 1).ravel() + 1
+    carry = ENDLESS
+    for items, lcp, _ in suffixes(text, base + 1, scratch):
+        own = np.flatnonzero((items % 2 == 0) & (items < 2 * len(names)))
+        value, carry = chosen(lcp, own, carry)
+        if len(own):
+            yield items[own].astype(np.int64) // 2, value.astype(np.int64) // 2
+
+
+def at_once(names: np.ndarray, kinds: int, scratch: Scratch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The same for few names, by doubling the compared length; the last name is the only one of its kind."""
+    n, rank, step = len(names), np.asarray(names).astype(np.int64), 1
+    while True:
+        second = np.r_[rank[step:], np.full(min(step, n), -1)][:n]
+        order = np.lexsort((second, rank))
+        fresh = np.r_[False, (rank[order][1:] != rank[order][:-1]) | (second[order][1:] != second[order][:-1])]
+        rank = np.empty(n, np.int64)
+        rank[order] = np.cumsum(fresh)
+        if rank[order[-1]] == n - 1:
             break
-    return np.minimum(np.minimum(out, most), np.minimum(rest[a], rest[b]))
-
-
-def sort_suffixes(strings: list[bytes], most: int, buffer: int = 4_000_000) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(order, lcp, start of each string, bytes to the end mark) over the strings laid end to end.
-
-    ``order`` begins with the end marks.  Common prefixes are exact up to ``most`` for seeds and never too small."""
-    size = np.array([len(s) for s in strings], np.int64)
-    raw = np.frombuffer(b"\0".join(strings) + b"\0", np.uint8)
-    stops = np.cumsum(size + 1) - 1
-    starts = np.r_[0, stops[:-1] + 1]
-    text = raw.astype(np.int16) + 1
-    text[stops] = 0
-    rest = (np.repeat(stops, size + 1) - np.arange(len(text))).astype(np.int32)
-    small = kinds(text)
-    seed = small.copy()
-    seed[1:] &= ~small[:-1]
-    seed[0] = False
-    seed[stops] = True
-    seeds = np.flatnonzero(seed).astype(np.int32)
-    # order of the seed substrings, by induction from seeds in text order
-    first = seeds[np.argsort(text[seeds], kind="stable")]
-    order, _ = induce(text, small, first, None, buffer)
-    order = order[seed[order]]
-    nxt = np.zeros(len(text), np.int32)
-    nxt[seeds[:-1]] = seeds[1:]
-    nxt[seeds[-1]] = len(text) - 1
-    mix = np.cumsum(BYTE[text], dtype=np.uint64)
-    names = np.zeros(len(text), np.int64)
-    names[order] = name_seeds(text, order, nxt, mix)
-    rank = by_doubling(names[seeds])
-    ordered = seeds[rank]
-    lcp = np.zeros(len(ordered), np.int32)
-    lcp[1:] = common_prefix(raw, rest, ordered[:-1], ordered[1:], most)
-    order, lcp = induce(text, small, ordered, lcp, buffer)
-    return order, lcp, starts, rest
-
-
-_draw = np.random.default_rng(3)
-BYTE = _draw.integers(1, 1 << 63, MARKS, np.uint64)
-
-
-def name_seeds(text: np.ndarray, order: np.ndarray, nxt: np.ndarray, mix: np.ndarray) -> np.ndarray:
-    """Names of ordered seed substrings: equal ones (next seed's byte included) share a name, end marks never do."""
-    size = (nxt[order] - order).astype(np.int32)
+        step *= 2
+    agree, live = np.zeros(n, np.int64), np.arange(1, n)
     a, b = order[:-1], order[1:]
-    same = (size[1:] == size[:-1]) & (mix[nxt[a]] - mix[a] == mix[nxt[b]] - mix[b]) & (text[a] == text[b]) & (text[a] > 0)
-    live = np.flatnonzero(same)
-    step = 0
     while len(live):
-        good = text[a[live] + step] == text[b[live] + step]
-        same[live[~good]] = False
-        live = live[good]
-        step += 1
-        live = live[step <= size[:-1][live]]
-    return np.cumsum(np.r_[True, ~same])
+        live = live[names[a[live - 1] + agree[live]] == names[b[live - 1] + agree[live]]]
+        agree[live] += 1
+    yield order, agree
+
+
+def repeated_starts(strings: list[np.ndarray], length: int, symbols: int, buffer: int = 1 << 20) -> tuple[list[tuple[int, int, int]], int]:
+    """(string, first, last) of the runs of starts whose ``length`` symbols also start elsewhere; tuples and items spilled.
+
+    ``strings`` have numbers from 1 to ``symbols`` - 1."""
+    scratch = Scratch(buffer)
+    try:
+        size = np.array([len(s) for s in strings], np.int64)
+        starts = np.r_[0, np.cumsum(size + 1)]
+        text = scratch.array(int(starts[-1]), np.int16)
+        for s, a in zip(strings, starts.tolist()):
+            text[a : a + len(s)] = s
+        hit, before = scratch.array(len(text), np.uint8), np.zeros(0, np.int32)
+        for items, lcp, _ in suffixes(text, symbols, scratch) if strings else ():
+            long = np.flatnonzero(lcp >= length)
+            hit[items[long]] = 1
+            hit[np.r_[before, items][long - 1 + len(before)]] = 1
+            before = items[-1:]
+        out: list[tuple[int, int, int]] = []
+        for i, (a, b) in enumerate(zip(starts.tolist(), starts[1:].tolist())):
+            edge = np.flatnonzero(np.diff(np.r_[0, hit[a:b], 0].astype(np.int8)))
+            out += [(i, x, y - 1) for x, y in edge.reshape(-1, 2).tolist()]
+        return out, scratch.spilled
+    finally:
+        scratch.close()
