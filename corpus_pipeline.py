@@ -14,6 +14,8 @@ No stage can be written in SQL that DuckDB runs (trained scores, fingerprints, s
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,15 +61,22 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 OWN = ["doc_id", "text", "source"]
 
 
+#: How to remove the shared-folder tables of the stage that last began over a folder.
+_release: dict[str, Callable[[], None]] = {}
+
+
 def fresh(stage):
     """Run a stage on the columns it knows, all others packed into one, so extra columns of any name pass unchanged.
 
-    A text that a stage shortens gets its new n_chars.  The tables that earlier stages left in the shared folder are
-    removed first: their results are written, so nothing reads them any more."""
+    A text that a stage shortens gets its new n_chars.  The tables that the stage before left in the shared folder for
+    the same ``sf_dir`` are removed first: its result is written, so nothing reads them any more.  Tables of other
+    queries stay."""
 
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        common.release(spark)
-        out = stage(spark, common.packed(docs, OWN), sf_dir)
+        _release.pop(sf_dir, lambda: None)()
+        with common.scope(spark) as release:
+            _release[sf_dir] = release
+            out = stage(spark, common.packed(docs, OWN), sf_dir)
         if "rest" not in out.columns:
             return out
         out = common.unpacked(out, docs.columns, OWN)
