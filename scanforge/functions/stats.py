@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.ranks import average_ranks
+
 
 def moments(x: Column, y: Column) -> dict[str, Column]:
     return {"n": F.count(F.when(x.isNotNull() & y.isNotNull(), 1)), "sx": F.sum(x), "sy": F.sum(y), "sxx": F.sum(x * x), "syy": F.sum(y * y), "sxy": F.sum(x * y)}
@@ -43,9 +45,14 @@ def spearman(df: DataFrame, group: list[str], x: str, y: str) -> DataFrame:
 
 
 def signed_ranks(df: DataFrame, group: list[str], diff: Column) -> DataFrame:
-    """Per group: n, W+, W-, the smaller one, and the tie term of its variance (zero differences dropped)."""
+    """Per group: n, W+, W-, the smaller one, and the tie term of its variance (zero differences dropped).
+
+    Without a group the whole table is one, and ranks come from the distributed order of distinct differences."""
     d = df.withColumn("_d", diff).where("_d <> 0 and not isnan(_d)").withColumn("_a", F.abs("_d"))
-    d = d.withColumn("_r", average_rank(F.col("_a"), group)).withColumn("_t", F.count(F.lit(1)).over(Window.partitionBy(*group, "_a")))
+    if group:
+        d = d.withColumn("_r", average_rank(F.col("_a"), group)).withColumn("_t", F.count(F.lit(1)).over(Window.partitionBy(*group, "_a")))
+    else:
+        d = average_ranks(d, "_a", "_r", "_t")
     out = d.groupBy(*group).agg(
         F.count(F.lit(1)).alias("n"),
         F.coalesce(F.sum(F.when(F.col("_d") > 0, F.col("_r"))), F.lit(0.0)).alias("w_plus"),
@@ -70,7 +77,9 @@ def wilcoxon(df: DataFrame, group: list[str], diff: Column) -> DataFrame:
 
 
 def exact_signed_rank_p(ranks: list[float], w: float) -> float:
-    """Two-sided p by counting subsets of doubled ranks (few pairs, as in a table of files)."""
+    """Two-sided p by counting subsets of doubled ranks (few pairs, as in a table of files).
+
+    The counts are kept by sum, of which there are at most twice n (n + 1) / 2 + 1."""
     doubled = [round(2 * r) for r in ranks]
     ways = {0: 1}
     for r in doubled:

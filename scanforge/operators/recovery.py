@@ -64,8 +64,14 @@ def recovery_summary(rows: DataFrame, by: list[str], metric: str, name: str, ord
 
 
 def outliers(pairs: DataFrame, by: list[str], key: str, n: int = 25) -> DataFrame:
-    w = Window.partitionBy(*by).orderBy(F.desc(F.round(F.abs("log2fc"), 9)), key)
-    return pairs.where("log2fc is not null").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+    """The ``n`` pairs of each group with the largest absolute change; without a group a distributed top-n."""
+    order = [F.desc(F.round(F.abs("log2fc"), 9)), F.col(key)]
+    known = pairs.where("log2fc is not null")
+    if not by:
+        known, w = known.orderBy(*order).limit(n), Window.orderBy(*order)
+    else:
+        w = Window.partitionBy(*by).orderBy(*order)
+    return known.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
 def first_of(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:

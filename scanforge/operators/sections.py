@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import INT32_MAX, bit_width, zigzag
+from .ranks import numbered
 
 
 def split_overflow(df: DataFrame, value: str) -> DataFrame:
@@ -121,11 +122,11 @@ def breakdown(sections: DataFrame, by: list[str], name: str, size: str, whole: s
 
 def balanced_batches(rows: DataFrame, size: str, tie: str, batch: int) -> DataFrame:
     """Batches of one of the largest with ``batch`` - 1 of the smallest, by rank from either end."""
-    n = F.count(F.lit(1)).over(Window.partitionBy())
-    down = F.row_number().over(Window.orderBy(F.desc(size), tie)) - 1
-    up = F.row_number().over(Window.orderBy(F.asc(size), F.desc(tie))) - 1
-    large = F.ceil(n / batch)
-    return rows.withColumn("batch", F.when(down < large, down).otherwise(F.floor(up / (batch - 1))).cast("long"))
+    placed = numbered(rows, [F.desc(size), F.asc(tie)], name="_down")
+    n = placed.agg(F.count(F.lit(1)).alias("_n"))
+    down, up = F.col("_down"), F.col("_n") - 1 - F.col("_down")
+    turn = F.when(down < F.ceil(F.col("_n") / batch), down).otherwise(F.floor(up / (batch - 1)))
+    return placed.crossJoin(F.broadcast(n)).withColumn("batch", turn.cast("long")).drop("_down", "_n")
 
 
 def first_existing(paths: DataFrame, key: list[str], path: str, root_order: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import numbered
+
 from ..functions.numeric import ratio
 
 
@@ -92,11 +94,13 @@ def common_files(rows: DataFrame, variant: str, base: str, file: str) -> DataFra
 def variant_summary(rows: DataFrame, variant: str, base: str, file: str) -> DataFrame:
     """Per variant over the base's files: aggregate, mean and upper-median ratio, size against the base in percent."""
     own = common_files(rows, variant, base, file).withColumn("_r", ratio(F.col("raw"), F.col("compressed")))
-    upper = F.get(F.array_sort(F.collect_list("_r")), F.floor(F.count("_r") / 2).cast("int"))
-    out = own.groupBy(variant).agg(F.count(F.lit(1)).alias("n"), F.sum("raw").alias("raw"), F.sum("compressed").alias("compressed"), F.avg("_r").alias("mean_ratio"), upper.alias("upper_median"))
-    out = out.withColumn("aggregate_ratio", F.col("raw") / F.col("compressed"))
-    size = F.max(F.when(F.col(variant) == base, F.col("compressed"))).over(Window.partitionBy())
-    return out.withColumn("size_delta_percent", (F.col("compressed") / size - 1) * 100)
+    out = own.groupBy(variant).agg(F.count(F.lit(1)).alias("n"), F.count("_r").alias("_m"), F.sum("raw").alias("raw"), F.sum("compressed").alias("compressed"), F.avg("_r").alias("mean_ratio"))
+    # the upper median is the ratio at half the number, by distributed places
+    placed = numbered(own.where("_r is not null").select(variant, "_r"), [F.col("_r")], [variant], "_place")
+    upper = placed.join(out.select(variant, "_m"), variant).where(F.col("_place") == F.floor(F.col("_m") / 2)).groupBy(variant).agg(F.max("_r").alias("upper_median"))
+    out = out.join(upper, variant, "left").drop("_m").withColumn("aggregate_ratio", F.col("raw") / F.col("compressed"))
+    size = out.agg(F.max(F.when(F.col(variant) == base, F.col("compressed"))).alias("_size"))
+    return out.crossJoin(F.broadcast(size)).withColumn("size_delta_percent", (F.col("compressed") / F.col("_size") - 1) * 100).drop("_size")
 
 
 def interleave(rows: DataFrame, size: str, large: Column, per_large: int = 4, tie: str = "sample") -> DataFrame:

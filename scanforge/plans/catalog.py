@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import numeric as num
 from ..functions import stats
 from ..operators import compare, encode, islands, matching, recovery, tables, xic
+from ..operators.ranks import numbered
 from ..sources.views import Views, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -242,10 +243,10 @@ def _(v: Views) -> DataFrame:
 @query(
     "o_w14_run_merge",
     "points",
-    sql="""select scan_idx, min(b)::bigint * 4 as array_start, count(*)::bigint * 4 as n_points, count(*) as members from (select *, b - row_number() over (partition by scan_idx order by b) as g from (select scan_idx, pos // 4 as b from points group by 1, 2 having max(intensity) > 1)) group by scan_idx, g""",
+    sql="""select scan_idx, min(b)::bigint * 4 as array_start, count(*)::bigint * 4 as n_points, count(*) as members from (select *, b - row_number() over (partition by scan_idx order by b) as g from (select scan_idx, pos // 4 as b from points group by 1, 2 having max(intensity) > 0.1)) group by scan_idx, g""",
 )
 def _(v: Views) -> DataFrame:
-    spans = v.points.groupBy("scan_idx", F.floor(F.col("pos") / 4).alias("b")).agg(F.max("intensity").alias("m")).where("m > 1").select("scan_idx", (F.col("b") * 4).alias("array_start"), F.lit(4).cast("long").alias("n_points"))
+    spans = v.points.groupBy("scan_idx", F.floor(F.col("pos") / 4).alias("b")).agg(F.max("intensity").alias("m")).where("m > 0.1").select("scan_idx", (F.col("b") * 4).alias("array_start"), F.lit(4).cast("long").alias("n_points"))
     return islands.merge_adjacent(spans).select("scan_idx", long("array_start"), long("n_points"), "members")
 
 
@@ -278,7 +279,7 @@ def _(v: Views) -> DataFrame:
 
 
 def assigned(v: Views) -> DataFrame:
-    return matching.greedy(matching.neighbours(v.centroid, TOL), ["pair"], "prev", "curr", ["ppm", "prev", "curr"])
+    return matching.mutual_best(matching.neighbours(v.centroid, TOL), ["pair"], "prev", "curr", [F.col(c) for c in ("ppm", "prev", "curr")])
 
 
 @query("o_j16_greedy_match")
@@ -388,22 +389,22 @@ def _(v: Views) -> DataFrame:
     "o_t3_top_entries",
     "points",
     sql=f""", {CODES}, e as (select win, mz_q, count(*) as length, sum(code)::bigint as total, count(distinct scan_idx) as s from codes where code > 0 group by win, mz_q)
-select * exclude (s) from (select *, row_number() over (partition by win order by length desc, total desc, mz_q) as rank from e where s = length and length >= 3) where rank <= 32""",
+select * exclude (s) from (select *, row_number() over (partition by win order by length desc, total desc, mz_q) as rank from e where s = length and length >= 3) where rank <= 96""",
 )
 def _(v: Views) -> DataFrame:
     e = encode.dictionary(codes(v).where("code > 0").withColumn("intensity", F.col("code")), ["win"])
-    return encode.top_entries(e, ["win"], 32).select("win", "mz_q", "length", "total", long("rank"))
+    return encode.top_entries(e, ["win"], 96).select("win", "mz_q", "length", "total", long("rank"))
 
 
 @query(
     "o_c30_entry_classes",
     "points",
-    sql=f""", {CODES}, e as (select win, mz_q, count(*) as length, sum(code) as total, count(distinct scan_idx) as s from codes where code > 500 group by win, mz_q),
+    sql=f""", {CODES}, e as (select win, mz_q, count(*) as length, sum(code) as total, count(distinct scan_idx) as s from codes where code > 0 group by win, mz_q),
 t as (select win, mz_q, row_number() over (partition by win order by length desc, total desc, mz_q) as rank from e where s = length and length >= 3)
 select win, class, count(*) as entries, sum(length)::bigint as points from (select e.*, case when t.rank <= 32 then 'dense' when length >= 2 then 'track' else 'sparse' end as class from e left join t using (win, mz_q)) group by win, class""",
 )
 def _(v: Views) -> DataFrame:
-    e = encode.dictionary(codes(v).where("code > 500").withColumn("intensity", F.col("code")), ["win"])
+    e = encode.dictionary(codes(v).where("code > 0").withColumn("intensity", F.col("code")), ["win"])
     return encode.entry_classes(e, ["win"]).groupBy("win", "class").agg(F.count(F.lit(1)).alias("entries"), F.sum("length").alias("points"))
 
 
@@ -437,6 +438,11 @@ def _(v: Views) -> DataFrame:
     return encode.stack_blocks(codes(v).where("code > 0")).select("scan_idx", "pos", "block", "tag", long("place"))
 
 
+ISLAND_ARRAYS = f""", {CODES}, m as (select *, pos - row_number() over (partition by scan_idx order by pos) as run from codes where code > 0),
+f as (select scan_idx, win, min(pos) as start, list(code order by pos) as codes, list(mz_q order by pos) as mz_q, count(*) as n from m group by scan_idx, win, run),
+isl as (select *, row_number() over (partition by win, start order by scan_idx) as pos_in_track from f)"""
+
+
 def island_arrays(v: Views) -> DataFrame:
     m = islands.runs(codes(v), F.col("code") > 0)
     ordered = F.array_sort(F.collect_list(F.struct("pos", "code", "mz_q")))
@@ -446,13 +452,31 @@ def island_arrays(v: Views) -> DataFrame:
     return found.select("scan_idx", "start", "codes", "mz_q", F.concat_ws("-", F.col("win").cast("string"), F.col("start").cast("string")).alias("track"), F.row_number().over(w).alias("pos_in_track"), F.size("codes").alias("n_points"))
 
 
-@query("o_w10_delta_reference")
+ZIGZAG_BYTES = "list_sum(list_transform({0}, lambda x: case when x = 0 then 1 else ceil(length(bin(case when x >= 0 then 2 * x else -2 * x - 1 end)) / 8.0)::int end))"
+
+
+@query(
+    "o_w10_delta_reference",
+    "points",
+    sql=f"""{ISLAND_ARRAYS}, r as (select *, {ZIGZAG_BYTES.format("codes")} as full_bytes from isl),
+o as (select a.scan_idx, a.start, a.full_bytes, a.pos_in_track - b.pos_in_track as back, abs(a.n - b.n) as apart, list_transform(a.codes, lambda x, i: x - coalesce(b.codes[i], 0)) as d from r a join r b on a.win = b.win and a.start = b.start and b.pos_in_track between a.pos_in_track - 4 and a.pos_in_track - 1 and abs(a.n - b.n) <= 1),
+c as (select *, {ZIGZAG_BYTES.format("d")} as bytes, list_sum(list_transform(d, lambda x: abs(x)))::double / len(d) as mad from o),
+best as (select scan_idx, start, arg_min(struct_pack(bytes := bytes, back := back), (bytes, mad, apart, back)) as x from c where bytes < full_bytes group by 1, 2)
+select r.scan_idx, r.start, r.full_bytes::int as full_bytes, x.bytes::int as delta_bytes, x.back::int as back from r left join best using (scan_idx, start)""",
+)
 def _(v: Views) -> DataFrame:
     out = encode.reference_choice(island_arrays(v))
     return out.select("scan_idx", "start", "full_bytes", F.col("reference.bytes").alias("delta_bytes"), F.col("reference.back").alias("back"))
 
 
-@query("o_w11_mz_model")
+@query(
+    "o_w11_mz_model",
+    "points",
+    sql=f"""{ISLAND_ARRAYS}, p as (select *, lag(mz_q) over (partition by win, start order by pos_in_track) as prev from isl),
+d as (select *, case when prev is not null and len(prev) = n then list_transform(mz_q, lambda x, i: x - prev[i]) end as diff from p),
+c as (select *, list_max(diff) - list_min(diff) as spread from d)
+select scan_idx, start, diff[1] as "offset", case when diff is not null and spread = 0 then 'PREV_OFFSET' when diff is not null and length(bin(spread * 2)) * n + 64 < length(bin(list_max(mz_q))) * n then 'RESIDUAL' else 'RAW' end as model from c""",
+)
 def _(v: Views) -> DataFrame:
     return encode.grid_model(island_arrays(v)).select("scan_idx", "start", "offset", "model")
 
@@ -576,7 +600,12 @@ def _(v: Views) -> DataFrame:
     return p95.agg(r(F.percentile("p", F.lit(0.5)), 9).alias("ppm"))
 
 
-@query("o_a3_structure")
+@query(
+    "o_a3_structure",
+    sql="""with t as (select page_id, unnest(string_split(html, '<')) as token, generate_subscripts(string_split(html, '<'), 1) - 1 as ord from pages),
+b as (select page_id, ord // 4096 as blk, sha256(string_agg(sha256(token), chr(10) order by ord)) as h, count(*) as n from t group by 1, 2)
+select page_id, sha256(string_agg(h, chr(10) order by blk)) as digest, sum(n)::bigint as tokens from b group by 1""",
+)
 def _(v: Views) -> DataFrame:
     tokens = v.table("pages").select("page_id", F.posexplode(F.split("html", "<")).alias("ord", "token"))
     return compare.structure_digest(tokens, ["page_id"], "ord", "token")
@@ -585,9 +614,9 @@ def _(v: Views) -> DataFrame:
 # ---------------------------------------------------------------- extracted time series
 
 
-TARGETS = """, top as (select * from (select *, row_number() over (partition by scan_idx order by intensity desc, pos) as k from points where intensity > 0) where k <= 8),
+TARGETS = """, top as (select * from (select *, row_number() over (partition by scan_idx order by intensity desc, pos) as k from points where intensity > 0) where k <= 80),
 b as (select round_even(mz / 0.01::double, 0)::bigint as bucket, sum(mz * intensity) / sum(intensity) as target_mz, sum(rt * intensity) / sum(intensity) as target_rt, sum(intensity) as signal, count(*) as peaks from top group by 1),
-targets as (select *, row_number() over (order by round(signal, 6) desc, bucket) as rank from b qualify rank <= 20)"""
+targets as (select *, row_number() over (order by round(signal, 6) desc, bucket) as rank from b qualify rank <= 500)"""
 XIC = f"""{TARGETS}, lim as (select *, target_mz * (1 - 10::double * 1e-6::double) as lo, target_mz * (1 + 10::double * 1e-6::double) as hi from targets),
 grid as (select distinct scan_idx, rt, rank from points, targets),
 xa as (select scan_idx, rank, sum(intensity) as xic from points join lim on mz between lo and hi group by 1, 2), xb as (select scan_idx, rank, sum(intensity) as xic from recon join lim on mz between lo and hi group by 1, 2),
@@ -598,7 +627,7 @@ metrics as (select *, (area_b - area_a) / greatest(abs(area_a), 1) as signed fro
 
 
 def found_targets(v: Views) -> DataFrame:
-    return xic.targets(v.points, 20, 8)
+    return xic.targets(v.points)
 
 
 def series(v: Views) -> DataFrame:
@@ -629,15 +658,15 @@ def _(v: Views) -> DataFrame:
     return xic.summary(xic.target_metrics(series(v), ["rank"]), []).select("targets", r("area_median"), r("area_max"), r("pearson_min"))
 
 
-@query("o_a24_topk_gradient", "points", "recon", sql=f"{XIC} select k, count(*) as targets, round(quantile_cont(abs(signed), 0.95), 6) as area_p95, round(min(pearson), 6) as pearson_min from metrics, (values (5), (10), (20)) t(k) where rank <= k group by k")
+@query("o_a24_topk_gradient", "points", "recon", sql=f"{XIC} select k, count(*) as targets, round(quantile_cont(abs(signed), 0.95), 6) as area_p95, round(min(pearson), 6) as pearson_min from metrics, (values (5), (10), (20), (50), (100), (250), (500)) t(k) where rank <= k group by k")
 def _(v: Views) -> DataFrame:
-    return xic.gradient(xic.target_metrics(series(v), ["rank"]), [5, 10, 20], []).select("k", "targets", r("area_p95"), r("pearson_min"))
+    return xic.gradient(xic.target_metrics(series(v), ["rank"]), [5, 10, 20, 50, 100, 250, 500], []).select("k", "targets", r("area_p95"), r("pearson_min"))
 
 
-@query("o_t1_top_points", "points", sql="select scan_idx, pos, k from (select scan_idx, pos, row_number() over (partition by scan_idx order by intensity desc, pos) as k from points where intensity > 0) where k <= 5")
+@query("o_t1_top_points", "points", sql="select scan_idx, pos, k from (select scan_idx, pos, row_number() over (partition by scan_idx order by intensity desc, pos) as k from points where intensity > 0) where k <= 80")
 def _(v: Views) -> DataFrame:
     w = Window.partitionBy("scan_idx").orderBy(F.desc("intensity"), "pos")
-    return xic.top_points(v.points, 5).select("scan_idx", "pos", F.row_number().over(w).cast("long").alias("k"))
+    return xic.top_points(v.points).select("scan_idx", "pos", F.row_number().over(w).cast("long").alias("k"))
 
 
 # ---------------------------------------------------------------- recovery
@@ -703,7 +732,7 @@ def _(v: Views) -> DataFrame:
 
 @query("o_t5_outliers", *PAIRS, sql="select rank, id, round(fc, 6) as log2fc from (select *, row_number() over (order by round(abs(fc), 9) desc, id) as rank from pairs where fc is not null) where rank <= 25")
 def _(v: Views) -> DataFrame:
-    return recovery.outliers(pairs(v).withColumn("g", F.lit(0)), ["g"], "id").select(long("rank"), "id", r("log2fc"))
+    return recovery.outliers(pairs(v), [], "id").select(long("rank"), "id", r("log2fc"))
 
 
 @query(
@@ -848,19 +877,18 @@ PAIRED = ", p as (select sample, avg(raw / compressed) filter (where section = '
 select count(*) as n, round(sum(r) filter (where d > 0), 3)::double as w_plus, round(sum(r) filter (where d < 0), 3)::double as w_minus, round((sum(r) filter (where d > 0) - sum(r) filter (where d < 0)) / sum(r), 6) as rank_biserial from z""",
 )
 def _(v: Views) -> DataFrame:
-    q = paired(v).withColumn("g", F.lit(0))
-    out = stats.signed_ranks(q, ["g"], F.round(F.col("a") - F.col("b"), 6))
+    out = stats.signed_ranks(paired(v), [], F.round(F.col("a") - F.col("b"), 6))
     return out.select("n", r("w_plus", 3), r("w_minus", 3), r("rank_biserial"))
 
 
 @query("o_m3_wilcoxon_p")
 def _(v: Views) -> DataFrame:
-    return stats.wilcoxon(paired(v).withColumn("g", F.lit(0)), ["g"], F.round(F.col("a") - F.col("b"), 6)).select("n", "w", r("z"), r("p_value"))
+    return stats.wilcoxon(paired(v), [], F.round(F.col("a") - F.col("b"), 6)).select("n", "w", r("z"), r("p_value"))
 
 
 @query("o_m6_paired_t")
 def _(v: Views) -> DataFrame:
-    return stats.paired_t(paired(v).withColumn("g", F.lit(0)), ["g"], F.col("a") - F.col("b")).select("n", r("mean_diff"), r("t"), r("p_value"))
+    return stats.paired_t(paired(v), [], F.col("a") - F.col("b")).select("n", r("mean_diff"), r("t"), r("p_value"))
 
 
 @query("o_m1_pearson", "bench", sql="select section, round(corr(raw, compressed), 6) as strict from bench group by section")
@@ -1039,8 +1067,8 @@ def _(v: Views) -> DataFrame:
 
 @query("o_w17_offsets", sql="select doc_id, coalesce(sum(n_chars) over (partition by source order by doc_id rows between unbounded preceding and 1 preceding), 0)::bigint as low from documents")
 def _(v: Views) -> DataFrame:
-    w = Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    return v.table("documents").select("doc_id", F.coalesce(F.sum("n_chars").over(w), F.lit(0)).alias("low"))
+    sizes = v.table("documents").select("doc_id", "source", F.col("n_chars").cast("long").alias("n"))
+    return numbered(sizes, [F.col("doc_id")], ["source"], total="n").select("doc_id", F.col("n_before").alias("low"))
 
 
 @query("o_a33_worst", "bench", sql="select section, arg_min(file, (round(raw, 2), file)) as worst, round(min(raw), 2) as least from bench group by section")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,3 +54,14 @@ def markdown(df: DataFrame, columns: list[str]) -> DataFrame:
 def missing_only(wanted: DataFrame, done: DataFrame, key: list[str]) -> DataFrame:
     """What is wanted and not there yet: the cache check of an ingest."""
     return wanted.join(done.select(*key).distinct(), key, "left_anti")
+
+
+#: How much of a file is searched for marks of unsupported inputs, in characters.
+SNIFFED = 8 << 20
+
+
+def supported(path: Column, head: Column, tokens: list[str], marks: list[str]) -> Column:
+    """False for paths that hold one of ``tokens`` and for files whose first SNIFFED characters hold one of ``marks``."""
+    named = F.lower(path).rlike("|".join(map(re.escape, tokens)))
+    marked = F.lower(F.substring(head, 1, SNIFFED)).rlike("|".join(map(re.escape, marks)))
+    return ~(F.coalesce(named, F.lit(False)) | F.coalesce(marked, F.lit(False)))

@@ -54,9 +54,10 @@ class Views:
         return self.table("events").where("value > 0").select(F.unix_date(F.to_date("ts")).cast("long").alias("scan_idx"), F.col("event_id").alias("idx"), F.col("value").alias("mz"), (F.col("user_id") + 1).cast("double").alias("intensity"))
 
     def quantities(self, side: str) -> DataFrame:
-        test = "l_quantity >= 48" if side == "original" else "l_quantity <= 3"
+        """Summed amounts by order; every line counts on one of the two sides."""
+        test = f"(l_orderkey + l_linenumber) % 2 = {int(side != 'original')}"
         cents = F.sum(F.rint(F.col("l_extendedprice") * 100).cast("long"))
-        return self.table("lineitem").where(test).groupBy(F.col("l_partkey").alias("id")).agg((cents / 100.0).alias("quantity"))
+        return self.table("lineitem").where(test).groupBy(F.col("l_orderkey").alias("id")).agg((cents / 100.0).alias("quantity"))
 
     def ids(self, side: str) -> DataFrame:
         test = "l_returnflag = 'R'" if side == "original" else "l_linestatus = 'F'"
@@ -79,8 +80,8 @@ SQL = {
     "points": "points as (select vec_id as scan_idx, label as win, vec_id * 0.01::double as rt, (i - 1)::int as pos, 400::double + 0.01::double * (i - 1) as mz, greatest(0::double, embedding[i]::double) as intensity from embeddings, generate_series(1, 64) t(i))",
     "recon": "recon as (select scan_idx, win, rt, pos, round_even(mz * 1e6::double, 0) / 1e6::double as mz, round_even(intensity * 1000, 0) / 1000 as intensity from points)",
     "centroid": "centroid as (select (ts::date - date '1970-01-01')::bigint as scan_idx, event_id as idx, value as mz, (user_id + 1)::double as intensity from events where value > 0)",
-    "qa": "qa as (select l_partkey as id, sum(round_even(l_extendedprice * 100, 0)::bigint)::double / 100.0::double as quantity from lineitem where l_quantity >= 48 group by 1)",
-    "qb": "qb as (select l_partkey as id, sum(round_even(l_extendedprice * 100, 0)::bigint)::double / 100.0::double as quantity from lineitem where l_quantity <= 3 group by 1)",
+    "qa": "qa as (select l_orderkey as id, sum(round_even(l_extendedprice * 100, 0)::bigint)::double / 100.0::double as quantity from lineitem where (l_orderkey + l_linenumber) % 2 = 0 group by 1)",
+    "qb": "qb as (select l_orderkey as id, sum(round_even(l_extendedprice * 100, 0)::bigint)::double / 100.0::double as quantity from lineitem where (l_orderkey + l_linenumber) % 2 = 1 group by 1)",
     "pairs": "pairs as (select id, coalesce(qa.quantity, 0) as qa, coalesce(qb.quantity, 0) as qb, case when coalesce(qa.quantity, 0) > 0 and coalesce(qb.quantity, 0) > 0 then 'shared' when coalesce(qa.quantity, 0) > 0 then 'original_only' when coalesce(qb.quantity, 0) > 0 then 'rebuilt_only' else 'zero' end as set_class, case when qa.quantity > 0 and qb.quantity > 0 then log2(qb.quantity / qa.quantity) end as fc from qa full join qb using (id))",
     "ia": "ia as (select distinct l_orderkey as id from lineitem where l_returnflag = 'R')",
     "ib": "ib as (select distinct l_orderkey as id from lineitem where l_linestatus = 'F')",

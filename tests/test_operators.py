@@ -8,9 +8,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from scanforge.functions import numeric, stats
-from scanforge.operators import compare, encode, islands, matching, tables
+from scanforge.operators import codec, compare, encode, islands, matching, ranks, tables
 from scanforge.plans import catalog, sections  # noqa: F401
 from scanforge.sources.shared import ensure_checkpoint_dir
+from scanforge.sources.views import Views
 
 
 def points(spark, scans):
@@ -191,3 +192,85 @@ def test_empty_tables(spark):
     assert islands.islands_positive(p).count() == 0 and islands.islands_valley(p).count() == 0
     assert matching.neighbours(spark.createDataFrame([], "scan_idx long, idx long, mz double"), 5.0).count() == 0
     assert isinstance(islands.zero_share(p).toPandas(), pd.DataFrame)
+
+
+def slow_assignment(items, tol):
+    """(pair, prev, curr) by trying candidates in ascending order, scan pair by scan pair."""
+    by = {}
+    for scan, idx, mz in items:
+        by.setdefault(scan, []).append((mz, idx))
+    out = []
+    for scan, own in by.items():
+        before = sorted(by.get(scan - 1, []))
+        found = []
+        for mz, idx in own:
+            low = [p for p in before if p[0] < mz][-1:]
+            high = [p for p in before if p[0] >= mz][:1]
+            found += [(abs(mz - p[0]) / p[0] * 1e6, p[1], idx) for p in low + high if abs(mz - p[0]) / p[0] * 1e6 < tol]
+        a, b = set(), set()
+        for _, x, y in sorted(found):
+            if x not in a and y not in b:
+                a.add(x)
+                b.add(y)
+                out.append((scan, x, y))
+    return sorted(out)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_assignment_and_tracks_of_the_queries(spark):
+    """The queries' results against one-by-one assignment and chain following."""
+    v = Views(spark, "/root/testdata/sf0.001")
+    items = [(r["scan_idx"], r["idx"], r["mz"]) for r in v.centroid.collect()]
+    want = slow_assignment(items, catalog.TOL)
+    got = sorted((r["pair"], r["prev"], r["curr"]) for r in catalog.QUERIES["o_j16_greedy_match"](spark, v.folder).collect())
+    assert got == want
+    up = {c: p for _, p, c in want}
+    length = {}
+    for _, i, _ in items:
+        start = i
+        while start in up:
+            start = up[start]
+        length[start] = length.get(start, 0) + 1
+    assert {r["track_start"]: r["length"] for r in catalog.QUERIES["o_w6_tracks"](spark, v.folder).collect()} == length
+
+
+@pytest.mark.parametrize("rounds", [1, 8])
+def test_mutual_best_equals_one_by_one(spark, rounds):
+    import random
+
+    r = random.Random(3)
+    items = [(s, s * 1000 + i, round(100 + r.random() * 0.05, 6)) for s in range(4) for i in range(40)]
+    df = spark.createDataFrame(items, "scan_idx long, idx long, mz double")
+    near = matching.neighbours(df, 50.0)
+    got = matching.mutual_best(near, ["pair"], "prev", "curr", [F.col(c) for c in ("ppm", "prev", "curr")], rounds)
+    assert sorted((x["pair"], x["prev"], x["curr"]) for x in got.collect()) == slow_assignment(items, 50.0)
+
+
+def test_numbers_and_running_sums_over_ranges(spark):
+    import random
+
+    r = random.Random(1)
+    rows = [(r.choice(["a", "a", "a", None]), i, r.randint(0, 9)) for i in range(500)]
+    df = spark.createDataFrame(rows, "g string, i long, n long").repartition(5)
+    got = {(x["g"], x["i"]): (x["place"], x["n_before"]) for x in ranks.numbered(df, [F.col("i")], ["g"], total="n").collect()}
+    for g in ("a", None):
+        own = sorted((i, n) for k, i, n in rows if k == g)
+        for k, (i, _) in enumerate(own):
+            assert got[(g, i)] == (k, sum(n for _, n in own[:k]))
+
+
+def test_codec_streams(spark):
+    df = spark.createDataFrame([([5, 7, 1 << 40], [2, 0, 1]), ([], []), ([-3], [1])], "x array<bigint>, n array<int>")
+    both = df.select("x", codec.unpack_longs(codec.pack_longs(F.col("x"), True), True).alias("y"), codec.cut(F.col("x"), F.col("n")).alias("c")).collect()
+    assert all(r["x"] == r["y"] for r in both) and both[0]["c"] == [[5, 7], [], [1 << 40]] and both[1]["c"] == []
+    sizes = spark.createDataFrame([(7, [8, 9], [0.0, 0.0], [1.0, 1.0]), (7, [], [], []), (7, [8], [0.5], [])], "a long, b array<bigint>, s array<double>, r array<double>")
+    got = [r["n"] for r in sizes.select(codec.member_bytes(F.col("a"), F.col("b"), F.col("s"), F.col("r")).alias("n")).collect()]
+    assert got[1] < got[0] and got[2] > 1
+
+
+def test_wide_candidates_look_at_five_neighbours(spark):
+    prev = [(0, i, 100 + 0.001 * i) for i in range(6)]
+    df = spark.createDataFrame(prev + [(1, 10, 100.0025)], "scan_idx long, idx long, m double")
+    items = df.select("scan_idx", "idx", F.col("m").alias("center_mz"), (F.col("m") - 0.01).alias("mz_low"), (F.col("m") + 0.01).alias("mz_high"), F.lit(5.0).alias("max_intensity"), F.lit(3).alias("n_points"))
+    got = {r["prev"]: r["score"] for r in matching.wide_candidates(items, 100.0).collect()}
+    assert set(got) == {1, 2, 3, 4, 5} and max(got, key=got.get) in (2, 3)
