@@ -163,26 +163,38 @@ def fragment(row: dict, packed: bool = True) -> str:
 
 
 HEAD = '<?xml version="1.0" encoding="utf-8"?>\n<indexedmzML><mzML xmlns="http://psi.hupo.org/ms/mzml"><run id={0}><spectrumList>\n'
-TAIL = "</spectrumList></run></mzML>\n"
+TAIL = "</run></mzML>\n"
+
+
+def total_ion_chromatogram(times: list[float], totals: list[float], packed: bool) -> str:
+    arrays = ""
+    for values, kind in ((times, TIME), (totals, INTENSITY)):
+        text, kinds = payload(values, "float64", packed)
+        arrays += f'<binaryDataArray encodedLength="{len(text)}">{kinds}<cvParam accession="{kind}" value=""/><binary>{text}</binary></binaryDataArray>'
+    return f'<chromatogram index="0" id="TIC" defaultArrayLength="{len(times)}"><cvParam accession="MS:1000235" value=""/><binaryDataArrayList count="2">{arrays}</binaryDataArrayList></chromatogram>'
 
 
 def write_indexed(spectra: DataFrame, folder: str, packed: bool = True) -> DataFrame:
     """Write one indexed file for each file_id; returns file_id, path, spectra and the offset of the index.
 
-    Records stream to the file in order, offsets are noted as they pass; a repeated record id is an error.  A file
+    Records stream to the file in order, offsets are noted as they pass; a repeated record id is an error.  The file
+    ends with its total ion chromatogram.  A file
     appears under its own name only once it is whole."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, top = fs.FileSystem.from_uri(folder)
         store.create_dir(top, recursive=True)
-        now, out, at, offsets = None, None, 0, {}
+        now, out, at, offsets, times, totals = None, None, 0, {}, [], []
 
         def close() -> tuple:
             nonlocal at
-            out.write(TAIL.encode())
-            at += len(TAIL)
+            head = '</spectrumList><chromatogramList count="1">'
+            last = total_ion_chromatogram(times, totals, packed)
+            out.write(f"{head}{last}</chromatogramList>{TAIL}".encode())
+            own = f'<index name="chromatogram"><offset idRef="TIC">{at + len(head)}</offset></index>'
+            at += len(f"{head}{last}</chromatogramList>{TAIL}")
             index = "".join(f"<offset idRef={quoteattr(k)}>{v}</offset>\n" for k, v in offsets.items())
-            out.write(f'<indexList count="1"><index name="spectrum">\n{index}</index></indexList><indexListOffset>{at}</indexListOffset></indexedmzML>'.encode())
+            out.write(f'<indexList count="2"><index name="spectrum">\n{index}</index>{own}</indexList><indexListOffset>{at}</indexListOffset></indexedmzML>'.encode())
             out.close()
             store.move(f"{top}/{now}.mzML.tmp", f"{top}/{now}.mzML")
             return now, f"{folder}/{now}.mzML", len(offsets), at
@@ -193,7 +205,7 @@ def write_indexed(spectra: DataFrame, folder: str, packed: bool = True) -> DataF
                 if row["file_id"] != now:
                     if now is not None:
                         done.append(close())
-                    now, offsets = row["file_id"], {}
+                    now, offsets, times, totals = row["file_id"], {}, [], []
                     out = store.open_output_stream(f"{top}/{now}.mzML.tmp")
                     head = HEAD.format(quoteattr(escape(str(now)))).encode()
                     out.write(head)
@@ -201,6 +213,8 @@ def write_indexed(spectra: DataFrame, folder: str, packed: bool = True) -> DataF
                 if row["spectrum_id"] in offsets:
                     raise ValueError(f"{now}: repeated record id {row['spectrum_id']}")
                 offsets[row["spectrum_id"]] = at
+                times.append(row["rt"] or 0.0)
+                totals.append(float(np.sum(row["intensity"])))
                 text = (fragment(row, packed) + "\n").encode()
                 out.write(text)
                 at += len(text)

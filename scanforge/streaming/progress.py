@@ -17,6 +17,12 @@ def tail(spark: SparkSession, folder: str, schema: str = EVENTS) -> DataFrame:
     return spark.readStream.schema(schema).json(folder)
 
 
+def drain(spark: SparkSession, folder: str, seen: str, marks: str, schema: str = EVENTS) -> None:
+    """Append what has come to ``folder`` since the last call to ``seen``; ``marks`` keeps how far earlier calls got."""
+    query = tail(spark, folder, schema).writeStream.format("parquet").option("path", seen).option("checkpointLocation", marks).trigger(availableNow=True).start()
+    query.awaitTermination()
+
+
 def stage_progress(events: DataFrame, late: str = "10 minutes", window: str = "1 minute") -> DataFrame:
     """Highest progress of each job and stage in a window of event time; later events than ``late`` are dropped."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", window), "job", "stage").agg(F.max("done").alias("done"), F.max("total").alias("total"), F.count(F.lit(1)).alias("events"))

@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from scanforge.plans import catalog, sections  # noqa: F401
+from scanforge.plans import catalog, files, sections  # noqa: F401
 
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")

@@ -5,7 +5,9 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from scanforge.sources import mzml, tables
+from scanforge import api
+from scanforge.__main__ import main
+from scanforge.sources import archive, mzml, tables
 from scanforge.streaming import progress
 
 
@@ -96,3 +98,46 @@ def test_progress_stream(spark, tmp_path):
 def test_progress_batch_windows(spark):
     df = spark.createDataFrame([("a", "2024-01-01 00:00:01", "s", 1, 3), ("a", "2024-01-01 00:00:30", "s", 2, 3)], "job string, ts string, stage string, done long, total long").withColumn("ts", F.to_timestamp("ts"))
     assert progress.stage_progress(df).first()["done"] == 2
+
+
+def records(spark, n=6):
+    rows = [("a", i, f"scan={i}", i % 2 + 1, 0.5 * i, (400.0, 1.0, 1.0), [100.0 + i, 200.0 + i], [1.0, 3.25], "float64") for i in range(n)]
+    return spark.createDataFrame(rows, "file_id string, spectrum_index long, spectrum_id string, ms_level int, rt double, window struct<target:double,lower:double,upper:double>, mz array<double>, intensity array<double>, intensity_dtype string")
+
+
+def test_archive_round_trip_keeps_the_rest_of_the_file(spark, tmp_path, run_file):
+    path = run_file(True, mzml.F32)
+    told = api.round_trip(spark, path, f"file://{tmp_path}/archive").first()
+    assert told["passed"] and told["aux_equal"] and told["aux_records"] == 3
+    text = (tmp_path / "archive-export" / "run.mzML").read_text()
+    assert 'id="wave"' in text and 'id="tic"' in text and text.count("<binary>") == 5 and text.endswith("</mzML>")
+    assert {r["section"] for r in api.status(spark, f"file://{tmp_path}/archive").collect()} == {"ms1", "ms2", "auxiliary", "template"}
+
+
+def test_arrays_of_different_lengths_are_an_error(spark, tmp_path):
+    bad = f'<mzML><spectrum index="0" id="x"><cvParam accession="{mzml.LEVEL}" value="1"/><binaryDataArrayList>{array([1.0, 2.0], mzml.MZ)}{array([1.0], mzml.INTENSITY)}</binaryDataArrayList></spectrum></mzML>'
+    (tmp_path / "bad.mzML").write_text(bad)
+    for read in (archive.ingest, mzml.read_spectra):
+        with pytest.raises(Exception, match="array lengths differ"):
+            read(spark, str(tmp_path / "bad.mzML")).collect()
+
+
+def test_a_failed_archive_leaves_the_old_one(spark, tmp_path):
+    folder = f"file://{tmp_path}/kept"
+    one = spark.createDataFrame([(1,)], "x int")
+    archive.write_atomically({"ms1": one}, folder)
+    with pytest.raises(Exception, match="on purpose"):
+        archive.write_atomically({"ms1": spark.createDataFrame([(2,)], "x int"), "ms2": one.select(F.raise_error(F.lit("on purpose")).alias("x"))}, folder)
+    assert archive.section(spark, folder, "ms1").first()["x"] == 1 and [p.name for p in tmp_path.iterdir()] == ["kept"]
+    archive.write_atomically({"ms1": spark.createDataFrame([(3,)], "x int")}, folder)
+    assert archive.section(spark, folder, "ms1").first()["x"] == 3 and [p.name for p in tmp_path.iterdir()] == ["kept"]
+
+
+def test_near_lossless_preset_and_command_line(spark, tmp_path, capsys):
+    mzml.write_indexed(records(spark), f"file://{tmp_path}/in").collect()
+    main(["compress", f"{tmp_path}/in/*.mzML", f"file://{tmp_path}/arc", "--preset", "near_0.1"], spark)
+    assert "ms2" in capsys.readouterr().out
+    back = {r["mz"][0]: r["intensity"] for r in api.decompress(spark, f"file://{tmp_path}/arc", api.Options("near_0.1")).collect()}
+    assert len(back) == 6 and back[103.0] == [1.0, 3.2]
+    with pytest.raises(ValueError, match="no preset"):
+        api.Options("best")
