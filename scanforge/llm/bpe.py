@@ -8,8 +8,8 @@ further at the pairs found in the vocabulary.  Texts are taken in blocks: equal
 the merges of all its fragments run side by side in numpy arrays, each fragment in its own merge order.
 
 The work is per text: no shuffle, memory bounded by one block or text, and a lost executor repeats only its own
-input splits.  Defined results: a null text is encoded as the empty one (no ids); all other columns pass unchanged,
-but for input columns named like those the operator adds, which are replaced.
+input splits.  Defined results: a null text is encoded as the empty one (no ids); repeated rows are each encoded; all
+other columns pass unchanged, but for input columns named like those the operator adds, which are replaced.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 def byte_symbols() -> dict[int, str]:
-    """The printable stand-in of each byte in byte-level vocabularies: itself where visible, else from U+0100 on."""
+    """Fixed values of byte-level vocabularies: the printable stand-in of each byte, itself where visible, else from U+0100 on."""
     seen = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
     rest = [b for b in range(256) if b not in set(seen)]
     return {b: chr(b) for b in seen} | {b: chr(256 + i) for i, b in enumerate(rest)}
@@ -212,8 +212,16 @@ class Encoder:
         place = np.arange(head[-1]) - np.repeat(head[:-1], size)
         where = place + np.repeat(low, size)
         got = raw[where]
-        mark = np.add.reduceat(BYTE_KEYS[got] * PLACE_KEYS[place & 1023] + (place >> 10).astype(np.uint64), head[:-1])
+        far = (place >> 10).astype(np.uint64) * PLACE_KEYS[0]
+        mark = np.add.reduceat(BYTE_KEYS[got] * (PLACE_KEYS[place & 1023] + far), head[:-1])
         _, first, which = np.unique(mark ^ (size.astype(np.uint64) * PLACE_KEYS[7]), return_index=True, return_inverse=True)
+        # a mark only proposes: a word that differs from the first of its mark is encoded on its own
+        other = size != size[first][which]
+        like = np.where(other, head[:-1], head[:-1][first][which])
+        other |= np.add.reduceat(got != got[place + np.repeat(like, size)], head[:-1], dtype=np.int64) > 0
+        alone = np.flatnonzero(other)
+        which[alone] = len(first) + np.arange(len(alone))
+        first = np.r_[first, alone]
         n = size[first]
         own = np.r_[0, np.cumsum(n)]
         ids, starts = self.encode_bytes(got[np.arange(own[-1]) - np.repeat(own[:-1], n) + np.repeat(head[:-1][first], n)], own[1:])
@@ -225,17 +233,25 @@ class Encoder:
         return np.split(out, cut[:-1])
 
     def block(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each whole text."""
-        flat, plan = [], []
+        """Ids of each whole text; long ones are taken piece by piece, cut at blanks, which no word holds."""
+        pieces: list[str] = []
+        plan: list[list[int]] = []  # of each text the pieces' numbers, special ids as negative ones
         for text in texts:
             parts = self.at_special.split(text) if self.at_special is not None and "<|" in text else [text]
-            plan.append(parts)
-            flat += [self.normal(p) for p in parts[::2]]
-        got = iter(self.stretches(flat))
+            own: list[int] = []
+            for i, part in enumerate(parts):
+                if i % 2:
+                    own.append(-1 - self.special[part])
+                else:
+                    for piece in cut_at_blanks(self.normal(part)):
+                        own.append(len(pieces))
+                        pieces.append(piece)
+            plan.append(own)
+        got = [ids for some in blocks(pieces, PIECE) for ids in self.stretches(some)]
         out = []
-        for parts in plan:
-            own = [np.array([self.special[p]], np.int64) if i % 2 else next(got) for i, p in enumerate(parts)]
-            out.append(own[0] if len(own) == 1 else np.concatenate(own))
+        for own in plan:
+            ids = [got[i] if i >= 0 else np.array([-1 - i], np.int64) for i in own]
+            out.append(ids[0] if len(ids) == 1 else np.concatenate(ids))
         return out
 
     @staticmethod
@@ -252,6 +268,20 @@ class Encoder:
         return " ".join(map(self.names.__getitem__, ids.tolist()))
 
 
+def cut_at_blanks(text: str) -> Iterator[str]:
+    """Pieces of about PIECE characters of a normalised text, each but the last followed by a blank."""
+    low = 0
+    while len(text) - low > PIECE:
+        at = AT_BLANK.search(text, low + PIECE)
+        if at is None:
+            break
+        yield text[low : at.start()]
+        low = at.start()
+    yield text[low:] if low else text
+
+
+#: Characters that are encoded side by side, at least one word.
+PIECE, AT_BLANK = 2_000_000, regex.compile(r"\s")
 _keys = np.random.default_rng(23)
 BYTE_KEYS = _keys.integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 PLACE_KEYS = _keys.integers(1, 1 << 63, 1024, np.uint64) * np.uint64(2) + np.uint64(1)
