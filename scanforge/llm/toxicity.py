@@ -7,12 +7,15 @@ in each direction, read windows of ``WINDOW`` words; attention pools their state
 its worst passage and never by a prefix.
 
 The network is fitted on the driver on a bounded sample of labelled rows: the ``SAMPLE`` toxic and twice as many clean
-ones with the smallest hashes (texts over ``LONGEST`` characters are left out of the sample, not of the scoring).  A
-window is learned from each sampled document: at first any, then the one the network itself scores highest.  A part of
-the sample is set aside to fit the final scale.  Everything else is a map over documents: no shuffle, bounded memory.
+ones with the smallest hashes.  Of a sampled text over ``LONGEST`` characters it learns from stretches spread evenly
+over the whole of it, so the sample is bounded and holds texts of every length.  A window is learned from each sampled
+document: at first any, then the one the network itself scores highest.  A part of the sample is set aside to fit the
+final scale.  Everything else is a map over documents: no shuffle, bounded memory.
 
 Defined results: null and empty texts, and those without words, get the logit of an empty window; without labelled rows
-of both kinds every score is 0.
+of both kinds (an empty labels table among them) every score is 0.  Repeated rows are each scored, and alike; of labels
+that repeat a doc_id the largest counts; a doc_id that several texts have lends its label to the least of them.  All columns but the
+text pass unchanged, and an input column named ``score`` is replaced.
 """
 
 from __future__ import annotations
@@ -26,8 +29,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import LETTER, NUMBER, blocks, char_kinds
+from .common import lean, trim
 
-SAMPLE, LONGEST = 800, 30_000
+SAMPLE, LONGEST, PIECE = 800, 30_000, 1000
+#: Characters that are scored at a time, at least one whole text.
+BLOCK = 400_000
 WINDOW, STRIDE, HIDDEN, EMBED, BUCKETS = 32, 24, 8, 8, 1 << 18
 STEPS, TURN, BATCH, LEAST_TEXTS = 240, 20, 128, 4
 GRAMS = (3, 4, 5)
@@ -326,12 +332,22 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, longest: int =
     if not ids:
         return None
     chosen = docs.sparkSession.createDataFrame([(r["doc_id"], r["toxic"]) for r in ids], "doc_id long, toxic int")
-    short = docs.select("doc_id", "text").where(F.coalesce(F.length("text"), F.lit(0)) <= longest)
-    rows = sorted(short.join(F.broadcast(chosen), "doc_id").collect(), key=lambda r: (r["doc_id"], r["text"] or ""))
+    # documents that repeat a sampled doc_id are one text each, so that the sample stays bounded
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    rows = sorted(found.select("doc_id", "toxic", spread(F.col("text"), longest).alias("text")).collect(), key=lambda r: r["doc_id"])
     y = np.array([r["toxic"] for r in rows])
     if len(rows) < 10 or len(set(y.tolist())) < 2:
         return None
-    return train([r["text"] or "" for r in rows], y)
+    model = train([r["text"] or "" for r in rows], y)
+    trim()
+    return model
+
+
+def spread(text: Column, longest: int, piece: int = PIECE) -> Column:
+    """A text of up to ``longest`` characters itself, of a longer one so many in pieces spread evenly over it."""
+    n = max(longest // piece, 2)
+    at = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.floor(i * (F.length(text) - piece) / (n - 1)).cast("int"))
+    return F.when(F.length(text) > longest, F.concat_ws(" ", F.transform(at, lambda a: F.substring(text, a + 1, F.lit(piece))))).otherwise(text)
 
 
 def score(docs: DataFrame, model: dict | None, text: str = "text") -> DataFrame:
@@ -344,7 +360,7 @@ def score(docs: DataFrame, model: dict | None, text: str = "text") -> DataFrame:
         p = held.value
         for batch in batches:
             got: list[float] = []
-            for some in blocks(batch.column(text).to_pylist(), 1_000_000):
+            for some in blocks(batch.column(text).to_pylist(), BLOCK):
                 if p is None:
                     got += [0.0] * len(some)
                 else:
@@ -352,4 +368,4 @@ def score(docs: DataFrame, model: dict | None, text: str = "text") -> DataFrame:
                     got += sigmoid(p["scale"] * logit + p["shift"]).tolist()
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in keep), pa.array(got, pa.float64())], names=out.names)
 
-    return docs.mapInArrow(run, out)
+    return docs.mapInArrow(lean(run), out)
