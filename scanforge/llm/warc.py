@@ -7,10 +7,12 @@ succeeded enter the manifest on commit, so a lost executor or a repeated task le
 Reading: the manifest's files are planned as partitions, large files cut at record offsets that the manifest keeps.
 Equality and IN predicates on record type and header columns are pushed down: of each member only the headers are
 inflated first, and a record that fails the predicates, or a scan with ``payload=false``, skips the rest of the member
-by its length without reading it.  Files of other writers, without skip lengths, are read through.
+by its length without reading it.  Files of other writers are read too: gzip members with any header fields, with one
+record or many, and archives that are not compressed, where the length of a block is what is skipped.
 
 Defined results: null and empty payloads are records with no block; header values lose line breaks; a null id is
-written as an empty one.
+written as an empty one; repeated rows are records of their own; an empty table gives archives without records.  Of
+``pages`` only page_id, url and html are read, so no name clashes.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, WriterCommitMessage
 
-from .common import new_path
+from .common import new_path, pin
 
 SCHEMA = "record_id string, record_type string, target_uri string, refers_to string, payload_digest string, payload_length long, payload binary"
 #: Header names of the format, and one extension for the length of a payload that a revisit leaves out.
@@ -51,7 +53,8 @@ def member(head: bytes, payload: bytes, level: int) -> bytes:
     z = zlib.compressobj(level, zlib.DEFLATED, -15)
     body = z.compress(block) + z.flush()
     size = 10 + 2 + 12 + len(body) + 8
-    return b"\x1f\x8b\x08\x04" + bytes(4) + b"\x00\xff" + struct.pack("<H", 12) + b"sl" + struct.pack("<HII", 8, size, len(block) & 0xFFFFFFFF) + body + struct.pack("<II", zlib.crc32(block), len(block) & 0xFFFFFFFF)
+    skip = struct.pack("<H", 12) + b"sl" + struct.pack("<HII", 8, size, len(block)) if max(size, len(block)) < 1 << 32 else b""
+    return b"\x1f\x8b\x08" + (b"\x04" if skip else b"\x00") + bytes(4) + b"\x00\xff" + skip + body + struct.pack("<II", zlib.crc32(block), len(block) & 0xFFFFFFFF)
 
 
 def clean(value: object) -> str:
@@ -160,41 +163,136 @@ class Reader(DataSourceReader):
             place = part.low
             while place < part.high:
                 f.seek(place)
-                first = f.read(min(HEAD, part.high - place))
-                if first[:2] != b"\x1f\x8b":
-                    raise ValueError(f"{part.file}: no gzip member at {place}")
-                body, whole = 10, None
-                if first[3] & 4:
-                    extra = struct.unpack_from("<H", first, 10)[0]
-                    field = first[12 : 12 + extra]
-                    if field[:2] == b"sl":
-                        whole = struct.unpack_from("<I", field, 4)[0]
-                    body += 2 + extra
-                z = zlib.decompressobj(-15)
-                data = z.decompress(first[body:], 4096)
-                while b"\r\n\r\n" not in data and not z.eof:
-                    data += z.decompress(z.unconsumed_tail or f.read(HEAD), 4096)
-                head, _, start = data.partition(b"\r\n\r\n")
-                fields = {}
-                for line in head.decode("utf-8").split("\r\n")[1:]:
-                    name, _, value = line.partition(": ")
-                    fields[name.lower()] = value
-                row = {COLUMNS[k]: v for k, v in fields.items() if k in COLUMNS}
-                good = all(row.get(col) in values for col, values in self.wanted)
-                length = int(fields.get("content-length", 0))
-                wants = good and self.payload
-                if wants or whole is None:
-                    parts, n = [start], len(start)
-                    while not z.eof:
-                        more = z.decompress(z.unconsumed_tail or f.read(1 << 20))
-                        parts.append(more)
-                        n += len(more)
-                    payload = b"".join(parts)[:length]
-                if whole is None:
-                    whole = f.tell() - place - len(z.unused_data) + 8
-                if good:
-                    yield (*(row.get(c) if c != "payload_length" else int(row[c]) if c in row else length for c in HEADERS), payload if wants else None)
-                place += whole
+                source = Member(f, place) if f.read(2) == b"\x1f\x8b" else Plain(f, place, part.high)
+                while (fields := source.header()) is not None:
+                    row = {COLUMNS[k]: v for k, v in fields.items() if k in COLUMNS}
+                    good = all(row.get(col) in values for col, values in self.wanted)
+                    length = int(fields.get("content-length", 0))
+                    payload = None
+                    if good and self.payload:
+                        payload = source.take(length)
+                    if good:
+                        yield (*(row.get(c) if c != "payload_length" else int(row[c]) if c in row else length for c in HEADERS), payload)
+                    if source.whole:
+                        break  # the rest of the member is skipped unread
+                    source.skip(0 if payload is not None else length)
+                place = source.stop()
+
+
+class Stream:
+    """Records one after the other in a stream of bytes."""
+
+    whole: int | None = None
+
+    def __init__(self, f, place: int):
+        self.f, self.place, self.held = f, place, b""
+
+    def more(self) -> bytes:
+        """The next bytes; none at the end."""
+        raise NotImplementedError
+
+    def header(self) -> dict[str, str] | None:
+        """Fields of the next record, None if there is none."""
+        self.held = self.held.lstrip(b"\r\n")
+        while b"\r\n\r\n" not in self.held:
+            got = self.more()
+            if not got:
+                if self.held.strip():
+                    raise ValueError(f"broken record in the member at {self.place}")
+                return None
+            self.held = (self.held + got).lstrip(b"\r\n")
+        head, _, self.held = self.held.partition(b"\r\n\r\n")
+        fields: dict[str, str] = {}
+        for line in head.decode("utf-8", "replace").split("\r\n")[1:]:
+            name, _, value = line.partition(":")
+            fields[name.strip().lower()] = value.strip()
+        return fields
+
+    def take(self, length: int) -> bytes:
+        parts, n = [self.held], len(self.held)
+        while n < length and (got := self.more()):
+            parts.append(got)
+            n += len(got)
+        if n < length:
+            raise ValueError(f"record in the member at {self.place} ends early")
+        whole = b"".join(parts)
+        self.held = whole[length:]
+        return whole[:length]
+
+    def skip(self, length: int) -> None:
+        while length > len(self.held):
+            length -= len(self.held)
+            self.held = self.more()
+            if not self.held:
+                return
+        self.held = self.held[length:]
+
+
+class Member(Stream):
+    """A gzip member, inflated as it is asked for; ``whole`` is its length if its header says so."""
+
+    def __init__(self, f, place: int):
+        super().__init__(f, place)
+        f.seek(place)
+        self.raw = f.read(HEAD)
+        flags, body = self.raw[3], 10
+        if flags & 4:
+            extra = struct.unpack_from("<H", self.raw, body)[0]
+            low, stop = body + 2, body + 2 + extra
+            while low + 4 <= stop:
+                size = struct.unpack_from("<H", self.raw, low + 2)[0]
+                if self.raw[low : low + 2] == b"sl" and size == 8:
+                    self.whole = struct.unpack_from("<I", self.raw, low + 4)[0]
+                low += 4 + size
+            body = stop
+        for flag in (8, 16):  # a file name, a comment
+            if flags & flag:
+                body = self.raw.index(b"\0", body) + 1
+        body += 2 * bool(flags & 2)
+        self.z, self.raw = zlib.decompressobj(-15), self.raw[body:]
+        self.first = True
+
+    def more(self) -> bytes:
+        """At first only what holds a header."""
+        out, most = b"", 4096 if self.first else 1 << 20
+        while not out and not self.z.eof:
+            if not self.raw:
+                self.raw = self.f.read(HEAD if self.first else 1 << 20)
+                if not self.raw:
+                    raise ValueError(f"the member at {self.place} ends early")
+            out = self.z.decompress(self.raw, most)
+            self.raw = self.z.unconsumed_tail
+        self.first = False
+        return out
+
+    def stop(self) -> int:
+        if self.whole:
+            return self.place + self.whole
+        while not self.z.eof:
+            self.more()
+        return self.f.tell() - len(self.z.unused_data) + 8
+
+
+class Plain(Stream):
+    """Records without compression, up to ``high``; blocks that are not wanted are not read."""
+
+    def __init__(self, f, place: int, high: int):
+        super().__init__(f, place)
+        f.seek(place)
+        self.high = high
+
+    def more(self) -> bytes:
+        return self.f.read(max(0, min(HEAD, self.high - self.f.tell())))
+
+    def skip(self, length: int) -> None:
+        if length > len(self.held):
+            self.f.seek(min(self.high, self.f.tell() + length - len(self.held)))
+            self.held = b""
+        else:
+            self.held = self.held[length:]
+
+    def stop(self) -> int:
+        return self.high
 
 
 def batch(names: list[str], rows: list[tuple]) -> pa.RecordBatch:
@@ -230,7 +328,9 @@ def records(pages: DataFrame, least: int = 100) -> DataFrame:
     Every row whose page_id is the smallest of its payload is a response, so repeated rows of it are too."""
     raw = F.coalesce("html", F.lit("")).cast("binary")
     own = pages.select("page_id", F.col("url").alias("target_uri"), F.sha2(raw, 256).alias("digest"), F.length(raw).cast("long").alias("payload_length"), raw.alias("payload"))
-    first = own.where(F.col("payload_length") >= least).groupBy("digest").agg(F.min("page_id").alias("first"))
+    # only payloads that stand more than once, as a table of its own: a join with it can split a very common page
+    same = own.where(F.col("payload_length") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
+    first = pin(same.where("n > 1").select("digest", "first"), "repeated")
     again = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     return own.join(first.hint("merge"), "digest", "left").select(
         F.col("page_id").cast("string").alias("record_id"),
