@@ -3,12 +3,14 @@
 Old shards hold rows, new shards have capacities.  A row that stays costs nothing, a row that moves costs its bytes, so
 the plan is a transport problem.  Each old shard is seen as blocks of rows in ascending size (the first rows to leave
 are the smallest, which makes the cost of leaving convex); a flow network over blocks and shards is solved by successive
-shortest paths, and its flow says how many rows pass from which old to which new shard.  The network's size depends on
-shards and blocks, never on rows; only the shards' counts reach the driver.
+shortest paths, and its flow says how many rows pass from which old to which new shard.  Under law ``rows`` a shard keeps
+q or q + 1 rows, so its only open question is one row, and the blocks are: rows that leave in any plan, that one row,
+rows that stay in any plan.  The one row enters with its own size, so the plan moves the fewest bytes of all plans.  The
+network's size depends on shards, never on rows; only the shards' counts reach the driver.
 
 Rows get their place from their distributed rank within their old shard, by arithmetic on a table of at most
 old + new intervals, so the plan costs one range shuffle of whatever columns are asked for.  :func:`rewrite_affected`
-then writes only shards that lose or gain rows.
+then writes only shards that lose or gain rows, in files of up to ``FILE_ROWS`` rows that are tasks of their own.
 
 Law ``rows``: the counts of new shards differ by one at most.  Defined results: null texts count 16 bytes; equal rows
 are all placed; a null shard key belongs to old shard 0; an empty table gives an empty result; input columns named like those
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import drop_path, ranked, unpacked, unpin
 
-BLOCKS = 16
+FILE_ROWS = 100_000
 
 
 class Flow:
@@ -136,10 +138,13 @@ def reshard(docs: DataFrame, old_shard: Column, size: Column, order: list[Column
     rest = F.struct(F.lit(True).alias("_"), *(F.col(f"`{c}`") for c in carried)).alias("rest")
     rows = docs.select(rest, F.coalesce(old_shard.cast("int"), F.lit(0)).alias("old_shard"), size.cast("long").alias("_size"), *(c.alias(n) for c, n in zip(order, names)))
     placed = ranked(rows, ["old_shard"], [F.col("_size"), *map(F.col, names)], "_rank")
-    # blocks of near equal row counts, in ascending size: one row for each old shard and block
+    # one row for each old shard and block
     totals = placed.groupBy("old_shard").agg(F.max("_rank").alias("_last"))
-    block = F.floor(F.col("_rank") * BLOCKS / (F.col("_last") + 1)).cast("int")
-    found = placed.join(F.broadcast(totals), "old_shard").groupBy("old_shard", block.alias("b")).agg(F.count(F.lit(1)).alias("n"), F.sum("_size").alias("s")).collect()
+    counts = {r["old_shard"]: r["_last"] + 1 for r in totals.collect()}
+    keep = sum(counts.values()) // new_shards
+    first = F.when(F.col("old_shard") < new_shards, F.greatest(F.col("_last") - keep, F.lit(-1))).otherwise(F.col("_last") + 1)
+    block = F.when(F.col("_rank") < F.col("first"), 0).when(F.col("_rank") == F.col("first"), 1).otherwise(2)
+    found = placed.join(F.broadcast(totals.withColumn("first", first)), "old_shard").groupBy("old_shard", block.alias("b")).agg(F.count(F.lit(1)).alias("n"), F.sum("_size").alias("s")).collect()
     blocks: dict[int, list[tuple[int, int]]] = {}
     for r in sorted(found, key=lambda r: (r["old_shard"], r["b"])):
         blocks.setdefault(r["old_shard"], []).append((r["n"], r["s"]))
@@ -173,7 +178,9 @@ def rewrite_affected(placed: DataFrame, path: str) -> list[int]:
     if not affected:
         return []
     live = placed.where(F.col("shard").isin(affected))
-    live.repartition("shard").sortWithinPartitions("shard", "slot").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
+    # a shard is written by as many tasks as it has files, so a large one is no task of its own
+    dealt = live.withColumn("_file", F.floor(F.col("slot") / FILE_ROWS)).repartition("shard", "_file").sortWithinPartitions("shard", "slot").drop("_file")
+    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", FILE_ROWS).partitionBy("shard").parquet(path)
     filled = {r["shard"] for r in live.select("shard").distinct().collect()}
     for x in affected:
         if x not in filled:
