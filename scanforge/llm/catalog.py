@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import new_path, table
 
 VOCABULARY = "word_bpe_49k.json"
 SHARDS = 40
@@ -21,12 +21,20 @@ def vocabulary() -> str:
 
 
 def op1_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .reshard import reshard
+    """Places of all documents; those of shards that lose or gain rows are read from the files that were rewritten."""
+    from .reshard import reshard, rewrite_affected
 
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    docs = table(spark, sf_dir, "documents").select("doc_id", (F.length(raw) + 16).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), "source")
+    docs = table(spark, sf_dir, "documents").select("doc_id", (F.length(raw) + 16).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), "source", "text")
     old = F.pmod(F.xxhash64("source"), F.lit(OLD_SHARDS))
-    out = reshard(docs, F.when(F.col("source").isNotNull(), old), F.col("size"), [F.col("doc_id")], SHARDS)
+    placed = reshard(docs, F.when(F.col("source").isNotNull(), old), F.col("size"), [F.col("doc_id")], SHARDS)
+    path = new_path(spark, "shards")
+    affected = rewrite_affected(placed, path)
+    columns = ["doc_id", "size", "text_crc32", "shard", "slot", "old_shard"]
+    out = placed.where(~F.col("shard").isin(affected)).select(*columns)
+    if affected:
+        kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in placed.schema)
+        out = out.unionByName(spark.read.schema(kinds).parquet(path).select(*columns))
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
 
 
@@ -45,6 +53,9 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         say(F.col("spans")).alias("spans"),
         count(lambda s: s["live"]).alias("n_live"),
         count(lambda s: ~s["live"]).alias("n_example"),
+        count(lambda s: s["kind"] == 3).alias("n_owned"),
+        F.coalesce(F.array_max(F.transform("spans", lambda s: s["owners"])), F.lit(0)).alias("most_owners"),
+        F.coalesce(F.array_max(F.transform("spans", lambda s: s["repositories"])), F.lit(0)).alias("most_repositories"),
     )
 
 
