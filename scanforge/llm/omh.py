@@ -1,17 +1,21 @@
 """Op 10 - document fingerprints by Order MinHash, in DataFrame functions only.
 
-A text's k-mers are runs of ``K`` words.  Each is numbered by its occurrence within the text, so repeats differ, and the
-hash of (k-mer, occurrence) deals it to one of ``TUPLES`` x 2 slots.  The smallest hash of each slot is selected; the
-two selected k-mers of a tuple are put in the order in which they stand in the text, and hashed together.  A tuple
-matches only if both texts hold its k-mers in the same order, so the likeness of two fingerprints (equal tuples by
-tuples present in either) falls with edits and with reordering.
+A text's k-mers are runs of ``K`` words.  Each is numbered by its occurrence within the text, so repeats differ, and
+hashed with its number.  Of the hashes in each of ``BINS`` bins the smallest stays, a sample that texts with common k-mers
+share.  Under each of ``TUPLES`` further hash functions the two smallest k-mers of the sample are selected, put in the
+order in which they stand in the text, and hashed together.  A tuple matches only if both texts hold its k-mers in the
+same order, so the likeness of two fingerprints (equal tuples by tuples present in either) falls with edits and with
+reordering.  A text of two k-mers has all its tuples.
 
 The edited text shares its first three quarters with the text, so common k-mers are exploded once and marked as of
 both.  Texts are shuffled once, by their key; k-mers are exploded, numbered by a window and aggregated within that
 partitioning, without another exchange.  The order of documents comes from distributed ranks of a slim table.
 
+A number holds a k-mer's hash (33 bits) and its place (31 bits, as many words as a text can have).
+
 Defined results: a null text is empty; a text without words has no tuples, and two such texts have likeness 1; a text of
-fewer than K words is one k-mer; a null doc_id sorts first; rows that repeat both doc_id and text are one document.
+fewer than K words is one k-mer, whose tuples hold it alone; a null doc_id sorts first; rows that repeat both doc_id and
+text are one document; an empty table gives an empty result.  Only doc_id and the text are read, so no name clashes.
 """
 
 from __future__ import annotations
@@ -21,9 +25,9 @@ from pyspark.sql import functions as F
 
 from .common import partitions, pin, ranked
 
-K, TUPLES = 3, 32
+K, TUPLES, BINS = 3, 32, 64
 BLANKS = r"[\x20\x09-\x0D]+"
-PLACES = 22
+PLACES = 31
 #: Whose a k-mer is: of both texts, of the text alone, of the edited one alone; and the digest's digits.
 BOTH, TEXT, EDITED, DIGEST = range(4)
 
@@ -38,14 +42,30 @@ def kmers(own: Column, whole: Column) -> Column:
     return F.when(F.size(own) >= K, runs).when(whole & (F.size(own) > 0), F.array(F.xxhash64(own))).otherwise(F.array().cast("array<bigint>"))
 
 
-def tuple_hash(a: Column, b: Column) -> Column:
-    """32 bits from two selected k-mers (hash and place in one number), in text order; null if neither exists."""
-    low = (1 << PLACES) - 1
-    place = lambda x: x.bitwiseAND(F.lit(low))
-    name = lambda x: F.shiftright(x, PLACES)
-    swap = place(b) < place(a)
-    both = F.when(swap, F.hash(name(b), name(a), F.lit(1))).otherwise(F.hash(name(a), name(b), F.lit(1)))
-    return F.when(a.isNotNull() & b.isNotNull(), both).when(a.isNotNull(), F.hash(name(a), F.lit(2))).when(b.isNotNull(), F.hash(name(b), F.lit(3)))
+def name(x: Column) -> Column:
+    return F.shiftright(x, PLACES)
+
+
+def place(x: Column) -> Column:
+    return x.bitwiseAND(F.lit((1 << PLACES) - 1))
+
+
+def numbered_hash(v: Column, at: Column) -> Column:
+    """The upper bits of a hash with a place in the lower ones."""
+    return v.bitwiseAND(F.lit(-(1 << PLACES))).bitwiseOR(at)
+
+
+def tuples(sample: Column) -> Column:
+    """32 bits for each of TUPLES hash functions, from the two smallest of the sample in text order; null without k-mers."""
+    mixed = lambda j: F.transform(sample, lambda y: numbered_hash(F.xxhash64(name(y), j), place(y)))
+    least = F.transform(F.sequence(F.lit(1), F.lit(TUPLES)), lambda j: F.slice(F.sort_array(mixed(j)), 1, 2))
+    both = lambda x, y: F.xxhash64(name(x), name(y)).bitwiseAND(F.lit(0xFFFFFFFF))
+
+    def hashed(s: Column) -> Column:
+        x, y = F.get(s, F.lit(0)), F.get(s, F.lit(1))
+        return F.when(F.size(s) == 1, F.xxhash64(name(x)).bitwiseAND(F.lit(0xFFFFFFFF))).when(place(y) < place(x), both(y, x)).otherwise(both(x, y))
+
+    return F.transform(least, lambda s: F.when(F.size(s) > 0, hashed(s)))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -91,18 +111,16 @@ def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
     so_far = Window.partitionBy(*key, "x").orderBy("at", "of").rowsBetween(Window.unboundedPreceding, 0)
     of = lambda *kinds: F.sum(F.when(F.col("of").isin(*kinds), 1).otherwise(0)).over(so_far)
     numbered = each.withColumn("v", F.xxhash64("x", F.when(F.col("of") == EDITED, of(BOTH, EDITED)).otherwise(of(BOTH, TEXT))))
-    place = F.col("at").cast("long").bitwiseAND(F.lit((1 << PLACES) - 1))
-    value = F.shiftleft(F.shiftrightunsigned("v", PLACES + 1), PLACES).bitwiseOR(place)
-    slot = F.pmod("v", F.lit(2 * TUPLES))
+    value = numbered_hash(F.col("v"), F.col("at").cast("long"))
     digits = F.col("of") == DIGEST
-    picked = numbered.select(*key, "of", F.when(digits, TUPLES + F.col("at")).otherwise(F.floor(slot / 2)).cast("int").alias("j"), F.when(digits, 0).otherwise(slot % 2).alias("side"), F.when(digits, F.col("x")).otherwise(value).alias("y"))
-    least = lambda side, other: F.min(F.when((F.col("side") == side) & (F.col("of") != other), F.col("y")))
-    chosen = picked.groupBy(*key, "j").agg(least(0, EDITED).alias("a0"), least(1, EDITED).alias("a1"), least(0, TEXT).alias("b0"), least(1, TEXT).alias("b1"))
-    hashed = chosen.select(*key, "j", F.when(F.col("j") < TUPLES, tuple_hash(F.col("a0"), F.col("a1")).cast("long")).otherwise(F.col("a0")).alias("a"), tuple_hash(F.col("b0"), F.col("b1")).cast("long").alias("b"))
-    listed = hashed.groupBy(*key).agg(F.collect_list(F.struct("j", "a", "b")).alias("m"))
-    at = lambda j, side: F.get(F.filter("m", lambda x: x["j"] == j), F.lit(0))[side]
-    row_of = lambda low, high, side: F.transform(F.sequence(F.lit(low), F.lit(high)), lambda j: at(j, side))
-    prints = listed.select(*key, row_of(0, TUPLES - 1, "a").alias("a"), row_of(0, TUPLES - 1, "b").alias("b"), row_of(TUPLES, TUPLES + 7, "a").alias("s"))
+    bin_ = F.when(digits, BINS + F.col("at")).otherwise(F.pmod("v", F.lit(BINS))).cast("int")
+    picked = numbered.select(*key, "of", bin_.alias("j"), F.when(digits, F.col("x")).otherwise(value).alias("y"))
+    least = lambda other: F.min(F.when(F.col("of") != other, F.col("y")))
+    chosen = picked.groupBy(*key, "j").agg(least(EDITED).alias("a"), least(TEXT).alias("b"))
+    listed = chosen.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("j", "a", "b"))).alias("m"))
+    sample = lambda side: F.filter(F.transform(F.filter("m", lambda x: x["j"] < BINS), lambda x: x[side]), lambda y: y.isNotNull())
+    sampled = listed.select(*key, sample("a").alias("a"), sample("b").alias("b"), F.transform(F.filter("m", lambda x: x["j"] >= BINS), lambda x: x["a"]).alias("s"))
+    prints = sampled.select(*key, tuples(F.col("a")).alias("a"), tuples(F.col("b")).alias("b"), "s")
     full = pin(prints.join(slim.hint("merge"), key), "prints")
     after = full.select(F.pmod(F.col("rank") - 1, count).alias("rank"), F.col("a").alias("z"))
     out = full.join(after.hint("merge"), "rank").select("doc_id", F.col("n").cast("long").alias("n_chars"), say(F.col("s")).alias("edited_sha256"), say(F.col("a")).alias("fingerprint"), say(F.col("b")).alias("edited_fingerprint"), likeness(F.col("a"), F.col("b")).alias("near_edited"), likeness(F.col("a"), F.col("z")).alias("near_next"))
