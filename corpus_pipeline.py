@@ -9,6 +9,10 @@ A stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as P
 * secret_scans: live-looking secrets are replaced by a mark;
 * best_fit_packing: the remaining texts as token pieces, packed into sequences of 4096.
 
+Defined results: rows without a doc_id pass every stage, as they have no name by which to be a copy; null and empty texts
+are texts without words, of which one row stays; an empty table gives an empty result; with no labels of both kinds no
+document is rejected; extra columns of any name pass unchanged.
+
 No stage can be written in SQL that DuckDB runs (trained scores, fingerprints, suffix order), so ``ORACLE_SQL`` is None.
 """
 
