@@ -101,28 +101,49 @@ def base_spans(t):
     return sorted(out + [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 32])
 
 
+def slow_secrets(rows):
+    """Per row (owner, repository, text) the spans kind:start:stop, and whether each is live, by plain counting."""
+    found = []
+    for o, r, t in rows:
+        base = [(a, k, b, t[a:b]) for a, k, b in base_spans(t)]
+        base = [(a, k, b, re.search(r"[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)$", v)[1] if k == 0 else v) for a, k, b, v in base]
+        loose = [(m.start(), 3, m.end(), m[0]) for m in re.finditer(r"[A-Za-z0-9_-]{20,}", t) if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0]) and len(set(m[0])) >= 10]
+        found.append(base + [x for x in loose if not any(b[0] < x[2] and x[0] < b[2] for b in base)])
+    owners, places = defaultdict(set), defaultdict(set)
+    for (o, r, _), own in zip(rows, found):
+        for x in own:
+            owners[x[3]].add(o)
+            places[x[3]].add((o, r))
+    live = lambda v: not (len(owners[v]) >= 3 or len(owners[v]) > 1 and len(places[v]) >= 6)
+    return [sorted((a, k, b, len(owners[v]), len(places[v]), live(v)) for a, k, b, v in own if k < 3 or live(v)) for own in found]
+
+
 def test_secret_spans_and_ownership(spark, docs, empty):
-    texts = ["é😀 secret: 'abcdefgh1' API_KEY=x", "token=token: abcdefghij", "x " + "Zz9_" * 8 + "abcdefghkl", None]
+    texts = ["é😀 secret: 'abcdefgh1' API_KEY=x", "token=token: abcdefghij", "x " + "Zz9_" * 8 + "abcdefghkl", "Q7w8E9r0T1y2U3i4O5p6 then password: Q7w8E9r0T1y2U3i4O5p6", None]
     more = [(900 + i, t, "en", f"own{i}", 0) for i, t in enumerate(texts)] + [(950 + i, "key AKIAEXAMPLEEXAMPLE1 here", "en", f"o{i}", 0) for i in range(4)]
+    more += [(960 + i, "one LoosE_value_0123456789 " + "0123456789abcdef" * 2, "en", f"p{i % 2}", 0) for i in range(7)]
+    more += [(980 + i, "own Another-value_9876543210", "en", "p9", 0) for i in range(8)]
     df = docs.drop("extra").unionByName(spark.createDataFrame(more, SCHEMA))
-    df = df.withColumn("_row", F.lit("x")).withColumn("value", F.lit(1))
+    df = df.withColumn("_row", F.lit("x")).withColumn("value", F.lit(1)).withColumn("start", F.lit(2))
     got = secrets.scan(df, keep_text=True).withColumn("clean", secrets.redact(F.coalesce("text", F.lit("")), F.col("spans"))).collect()
-    assert len(got) == df.count()
-    for r in got:
+    assert len(got) == df.count() and got[0]["_row"] == "x" and got[0]["start"] == 2
+    want = slow_secrets([(r["source"], r["doc_id"], r["text"] or "") for r in got])
+    for r, w in zip(got, want):
         t = r["text"] or ""
-        own = [(s["start"], s["kind"], s["stop"]) for s in r["spans"] if s["kind"] < 3]
-        assert own == base_spans(t)
-        live = [s for s in r["spans"] if s["live"]]
-        assert ("[SECRET]" in r["clean"]) == bool(live)
-        if not live:
-            assert r["clean"] == t
-    assert all(not s["live"] for r in got if (r["doc_id"] or 0) >= 950 for s in r["spans"])
-    assert any(s["kind"] == 3 for r in got if r["doc_id"] == 902 for s in r["spans"])
+        assert [(s["start"], s["kind"], s["stop"], s["owners"], s["repositories"], s["live"]) for s in r["spans"]] == w
+        assert [x[:3] for x in w if x[1] < 3] == base_spans(t)
+        clean, at = "", 0
+        for a, _, b, _, _, live in w:
+            if live:
+                clean, at = (clean + t[at:a] + "[SECRET]" if a >= at else clean), max(at, b)
+        assert r["clean"] == clean + t[at:]
+    assert all(not s["live"] for r in got if (r["doc_id"] or 0) in range(950, 980) for s in r["spans"])
+    assert all(s["live"] for r in got if (r["doc_id"] or 0) >= 980 for s in r["spans"]) and any(s["kind"] == 3 for r in got if r["doc_id"] in (902, 980) for s in r["spans"])
     assert secrets.scan(empty).count() == 0
 
 
 def test_redaction_merges_overlaps(spark):
-    df = spark.createDataFrame([("0123456789", [(1, 0, 4, True), (2, 2, 6, True), (8, 1, 9, True)])], "t string, s array<struct<start:int,kind:int,stop:int,live:boolean>>")
+    df = spark.createDataFrame([("0123456789", [(1, 0, 4, True, 0), (2, 2, 6, True, 4), (7, 1, 8, False, 6), (8, 1, 9, True, 6)])], "t string, s array<struct<start:int,kind:int,stop:int,live:boolean,reach:int>>")
     assert df.select(secrets.redact(F.col("t"), F.col("s")).alias("x")).first()["x"] == "0[SECRET]67[SECRET]9"
 
 
@@ -130,26 +151,40 @@ def test_redaction_merges_overlaps(spark):
 
 
 def shared_prefix(a, b):
-    n = 0
-    for x, y in zip(a, b):
-        if x != y:
-            break
-        n += 1
-    return n
+    return next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
 
 
-def test_induced_sorting_with_spills():
+@pytest.mark.parametrize("few, slice_, buffer", [(1, 3, 5), (4, 1 << 16, 40), (1 << 18, 1 << 16, 1 << 20)])
+def test_induced_sorting_orders_all_suffixes(monkeypatch, few, slice_, buffer):
+    monkeypatch.setattr(induced, "FEW", few)
+    monkeypatch.setattr(induced, "SLICE", slice_)
     r = random.Random(4)
-    for turn in range(60):
-        letters = r.choice([1, 2, 4])
-        strings = [bytes(r.choice(range(97, 97 + letters)) for _ in range(r.randint(1, 25))) for _ in range(r.randint(1, 5))]
+    for turn in range(25):
+        strings = [[r.randint(1, 1 + turn % 4) for _ in range(r.randint(0, 30))] for _ in range(r.randint(1, 5))]
         strings += strings[:1] * (turn % 2)
-        order, lcp, starts, rest = induced.sort_suffixes(strings, 400, buffer=r.choice([2, 10_000]))
-        suffix = {int(s) + i: t[i:] for s, t in zip(starts, strings) for i in range(len(t))}
-        got = [suffix[int(p)] for p in order[len(strings) :]]
-        assert len(got) == len(suffix) and got == sorted(got)
-        for i in range(1, len(got)):
-            assert shared_prefix(got[i - 1], got[i]) == min(lcp[len(strings) + i], len(got[i - 1]), len(got[i]))
+        text = np.array([x for s in strings for x in [*s, 0]], np.int16)
+        scratch = induced.Scratch(buffer)
+        found = [(int(a), int(b)) for items, lcp, _ in induced.suffixes(text, 6, scratch) for a, b in zip(items, lcp)]
+        scratch.close()
+        assert scratch.spilled or len(text) <= 2 * buffer
+        ends = np.flatnonzero(text == 0)
+        got = [text[a : ends[np.searchsorted(ends, a)]].tolist() for a, _ in found]
+        assert sorted(a for a, _ in found) == list(range(len(text))) and got == sorted(got)
+        assert [b for _, b in found] == [0] + [shared_prefix(x, y) for x, y in zip(got, got[1:])]
+
+
+def test_induced_sorting_of_a_shard_larger_than_its_memory():
+    import resource
+
+    r = np.random.default_rng(1)
+    base = [r.integers(97, 105, 200).astype(np.int16) for _ in range(400)]
+    strings = [np.r_[x[: r.integers(20, 180)], r.integers(97, 105, 100).astype(np.int16)] for x in base for _ in range(6)]
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    got, spilled = induced.repeated_starts(strings, 40, 258, buffer=20_000)
+    assert spilled > 20 * 20_000 and resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 200_000
+    n = Counter(bytes(s[i : i + 40].astype(np.uint8)) for s in strings for i in range(len(s) - 39))
+    want = {(k, i) for k, s in enumerate(strings) for i in range(len(s) - 39) if n[bytes(s[i : i + 40].astype(np.uint8))] > 1}
+    assert {(k, i) for k, a, b in got for i in range(a, b + 1)} == want
 
 
 def test_anchors_cover_and_agree():
@@ -177,9 +212,9 @@ def brute_removal(texts):
     return out
 
 
-@pytest.mark.parametrize("hot", [5000, 1])
-def test_suffix_dedup(spark, docs, empty, monkeypatch, hot):
-    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+@pytest.mark.parametrize("crowd", [20_000, 1])
+def test_suffix_dedup(spark, docs, empty, monkeypatch, crowd):
+    monkeypatch.setattr(suffix_dedup, "CROWD", crowd)
     common_ = prose(150, 21)
     more = [(1000 + i, prose(20 + 7 * i, 30 + i) + common_ + prose(30 + i, 50 + i), "en", "s", 0) for i in range(6)]
     df = docs.drop("extra").unionByName(spark.createDataFrame(more, SCHEMA))
@@ -187,7 +222,7 @@ def test_suffix_dedup(spark, docs, empty, monkeypatch, hot):
     want = Counter((r["doc_id"], *w) for r, w in zip(rows, brute_removal([r["text"] for r in rows])))
     got = Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.removal_report(df).collect())
     assert got == want
-    if hot == 1:
+    if crowd == 1:
         kept = {r["doc_id"]: r["text"] for r in suffix_dedup.kept_texts(df.withColumn("k1", F.lit("x")).withColumn("kept", F.lit(0)).where("doc_id >= 1000 or doc_id in (15, 18)")).collect()}
         assert kept[15] is None and kept[18] == "" and all(common_[100:300] not in kept[i] for i in range(1000, 1006))
         assert suffix_dedup.removal_report(empty).count() == 0
@@ -454,14 +489,19 @@ def test_order_minhash(spark, docs, empty):
         cut = len(t) // 4
         edited = t[: len(t) - cut] + after[:cut]
         assert (r["n_chars"], r["edited_sha256"]) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
-        assert 0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1
+        told = [slow_omh(x) for x in (t, edited, after)]
+        assert [r["fingerprint"], r["edited_fingerprint"]] == told[:2]
+        cells = [[x[k : k + 8] for k in range(0, 256, 8)] for x in told]
+        likeness = lambda x, y: sum(a == b != "-" * 8 for a, b in zip(x, y)) / 32 if set(x) | set(y) != {"-" * 8} else 1.0
+        assert (r["near_edited"], r["near_next"]) == (likeness(*cells[:2]), likeness(cells[0], cells[2]))
     by = {g["doc_id"]: g for g in got}
     assert by[15]["fingerprint"] == by[18]["fingerprint"] == "-" * 256
     assert by[705]["near_edited"] > 0.2 > by[705]["near_next"]
     assert omh.fingerprints(empty).count() == 0
 
 
-def slow_omh(text):
+def slow_kmers(text):
+    """(k-mer, occurrence, place) of each k-mer."""
     own = [w for w in re.split(r"[\x20\x09-\x0D]+", text) if w]
     runs = [tuple(own[i : i + 3]) for i in range(len(own) - 2)] if len(own) >= 3 else [tuple(own)] if own else []
     seen = Counter()
@@ -472,6 +512,32 @@ def slow_omh(text):
     return out
 
 
+def xx(*values, seed=42):
+    """Hash of columns: strings by their UTF-8, numbers as eight bytes, each seeded with the hash before."""
+    for v in values:
+        seed = xxhash.xxh64_intdigest(v.encode() if isinstance(v, str) else (v % (1 << 64)).to_bytes(8, "little"), seed)
+    return seed
+
+
+def slow_omh(text):
+    """An Order MinHash fingerprint, k-mer by k-mer."""
+    bins = {}
+    for x, n, at in slow_kmers(text):
+        v = xx(xx(*x), n)
+        signed = v - (1 << 64) * (v >> 63)
+        bins[v % 64] = min(bins.get(v % 64, (1 << 64, 0)), (signed >> 31, at))
+    out = ""
+    for j in range(1, 33):
+        picked = []
+        for hashed, at in bins.values():
+            # the function's number is a 32-bit one
+            mixed = xxhash.xxh64_intdigest(j.to_bytes(4, "little"), xx(hashed))
+            picked.append(((mixed - (1 << 64) * (mixed >> 63)) >> 31, at))
+        least = [h for at, h in sorted((at, h) for h, at in sorted(picked)[:2])]
+        out += f"{xx(*least) & 0xFFFFFFFF:08x}" if least else "-" * 8
+    return out
+
+
 def test_edited_text_has_its_own_fingerprint(spark):
     """The edited text's fingerprint, made from shared k-mers, equals that of the same text given as a document."""
     a, b = prose(90, 300) + "  " + prose(30, 300), prose(70, 301)
@@ -480,7 +546,7 @@ def test_edited_text_has_its_own_fingerprint(spark):
     df = spark.createDataFrame([(1, a), (2, b), (3, edited)], "doc_id long, text string")
     got = {r["doc_id"]: r for r in omh.fingerprints(df).collect()}
     assert got[1]["edited_fingerprint"] == got[3]["fingerprint"]
-    x, y = slow_omh(a), slow_omh(edited)
+    x, y = slow_kmers(a), slow_kmers(edited)
     same = len({p[:2] for p in x} & {p[:2] for p in y}) / len({p[:2] for p in x} | {p[:2] for p in y})
     assert got[1]["near_edited"] <= same + 0.2
 

@@ -50,3 +50,33 @@ def test_stages(spark, tmp_path):
     packed = kept["best_fit_packing"]
     assert set(packed.doc_id) == set(kept["secret_scans"].doc_id)
     assert packed.groupby("sequence_id").length.sum().max() <= 4096
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def through(spark, folder, docs, labels):
+    """Every stage's rows for small tables."""
+    spark.createDataFrame(docs, SCHEMA).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    now, out = spark.read.parquet(f"{folder}/documents.parquet"), []
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, now, folder).write.parquet(f"{folder}/{k}")
+        now = spark.read.parquet(f"{folder}/{k}")
+        out.append(now.collect())
+    return out
+
+
+def test_no_documents(spark, tmp_path):
+    assert [len(x) for x in through(spark, f"file://{tmp_path}", [], [])] == [0] * 5
+
+
+def test_nulls_empties_and_only_copies(spark, tmp_path):
+    text = prose(30, 3)
+    docs = [(i, text, "en", "s", len(text)) for i in range(40)] + [(100, None, None, None, None), (101, None, "en", "s", None), (102, "", "en", "s", 0), (None, prose(9, 4), "en", "s", 1), (None, None, None, None, None)]
+    out = through(spark, f"file://{tmp_path}", docs, [(1, 1, 0)])
+    assert len(out[0]) == len(docs)
+    # one of the copies, one of the texts without words, and rows without a doc_id, which have no name to go by
+    assert sorted(str(r["doc_id"]) for r in out[1]) == ["0", "100", "None", "None"]
+    assert {(r["doc_id"], r["text"]) for r in out[3] if r["doc_id"] is not None} == {(0, text), (100, None)}
+    assert {r["doc_id"] for r in out[4]} == {0, 100, None} and max(r["sequence_id"] for r in out[4]) == min(r["sequence_id"] for r in out[4])
