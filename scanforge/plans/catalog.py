@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import numeric as num
 from ..functions import stats
 from ..operators import compare, encode, islands, matching, recovery, tables, xic
-from ..operators.ranks import numbered
+from ..operators.ranks import average_ranks, numbered
+from ..sources import mzml
 from ..sources.views import Views, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,12 +55,11 @@ def _(v: Views) -> DataFrame:
     "o_s2_run_type",
     "centroid",
     sql="""select case when n = 0 then 'UNKNOWN' when d < 50 and n / d > 5 then 'DIA' else 'DDA' end as run_type, n as targets, d as distinct_targets
-from (select count(*) as n, count(distinct round(mz, 2)) as d from (select * from centroid order by idx limit 200))""",
+from (select count(*) as n, count(distinct round(mz, 2)) as d from (select * from centroid where idx < 200))""",
 )
 def _(v: Views) -> DataFrame:
-    head = v.centroid.orderBy("idx").limit(200).agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.round("mz", 2)).alias("d"))
-    kind = F.when(F.col("n") == 0, "UNKNOWN").when((F.col("d") < 50) & (F.col("n") / F.greatest("d", F.lit(1)) > 5), "DIA").otherwise("DDA")
-    return head.select(kind.alias("run_type"), F.col("n").alias("targets"), F.col("d").alias("distinct_targets"))
+    rows = v.centroid.select(F.lit("run").alias("file_id"), F.col("idx").alias("spectrum_index"), F.lit(2).alias("ms_level"), F.struct(F.col("mz").alias("target")).alias("window"))
+    return mzml.file_type(rows).select(F.col("file_type").alias("run_type"), F.col("n").alias("targets"), F.col("d").alias("distinct_targets"))
 
 
 @query(
@@ -501,9 +501,9 @@ def _(v: Views) -> DataFrame:
     return encode.dedupe_blobs(d, "blob", "doc_id").select("doc_id", "sha1", "first", "copies", "kept")
 
 
-@query("o_c34_metadata_strip", sql="select page_id, length(regexp_replace(html, '(<p[^>]*>)[^<]*', '\\1', 'g')) as stripped from pages")
+@query("o_c34_metadata_strip", sql="select page_id, length(regexp_replace(html, '(<p\\b[^>]*>)[^<]*(</p>)', '\\1\\2', 'g')) as stripped from pages")
 def _(v: Views) -> DataFrame:
-    return v.table("pages").select("page_id", F.length(F.regexp_replace("html", "(<p[^>]*>)[^<]*", "$1")).cast("long").alias("stripped"))
+    return v.table("pages").select("page_id", F.length(mzml.skeleton(F.col("html"), "p")).cast("long").alias("stripped"))
 
 
 @query("o_c2_backends")
@@ -881,12 +881,25 @@ def _(v: Views) -> DataFrame:
     return out.select("n", r("w_plus", 3), r("w_minus", 3), r("rank_biserial"))
 
 
-@query("o_m3_wilcoxon_p")
+@query(
+    "o_m3_wilcoxon_p",
+    "bench",
+    sql=f"""{PAIRED}, z as (select *, rank() over (order by abs(d)) + (count(*) over (partition by abs(d)) - 1) / 2.0::double as r, count(*) over (partition by abs(d)) as t from q where d <> 0),
+g as (select count(*) as n, coalesce(sum(r) filter (where d > 0), 0) as up, coalesce(sum(r) filter (where d < 0), 0) as down, sum((t - 1) * (t + 1))::double as ties from z),
+w as (select n, least(up, down) as w, greatest(abs(least(up, down) - n * (n + 1) / 4.0::double) - 0.5::double, 0) / sqrt(n * (n + 1) * (2 * n + 1) / 24.0::double - ties / 48) as z from g)
+select n, w, round(z, 6) as z, round(1 - sqrt(2 / pi()) * (select sum(exp(-pow(z * (i + 0.5::double) / 20000, 2) / 2)) * z / 20000 from generate_series(0, 19999) s(i)), 6) as p_value from w""",
+)
 def _(v: Views) -> DataFrame:
     return stats.wilcoxon(paired(v), [], F.round(F.col("a") - F.col("b"), 6)).select("n", "w", r("z"), r("p_value"))
 
 
-@query("o_m6_paired_t")
+@query(
+    "o_m6_paired_t",
+    "bench",
+    sql=f"""{PAIRED}, g as (select count(*) as n, avg(a - b) as m, avg(a - b) / (stddev_samp(a - b) / sqrt(count(*))) as t, (count(*) - 1)::double as v from q),
+f as (select *, exp(lgamma((v + 1) / 2) - lgamma(v / 2)) / sqrt(v * pi()) as c from g)
+select n, round(m, 6) as mean_diff, round(t, 6) as t, round(greatest(0, 1 - 2 * c * (select sum(pow(1 + pow(abs(t) * (i + 0.5::double) / 40000, 2) / v, -(v + 1) / 2)) * abs(t) / 40000 from generate_series(0, 39999) s(i))), 6) as p_value from f""",
+)
 def _(v: Views) -> DataFrame:
     return stats.paired_t(paired(v), [], F.col("a") - F.col("b")).select("n", r("mean_diff"), r("t"), r("p_value"))
 
@@ -909,12 +922,7 @@ def _(v: Views) -> DataFrame:
 
 @query("o_w15_average_rank", sql="select p_partkey, rank() over (order by p_size) + (count(*) over (partition by p_size) - 1) / 2.0::double as rank from part")
 def _(v: Views) -> DataFrame:
-    p = v.table("part").select("p_partkey", "p_size")
-    # sizes are few: ranks follow from their counts, without a window over all parts
-    n = p.groupBy("p_size").agg(F.count(F.lit(1)).alias("n"))
-    w = Window.orderBy("p_size").rowsBetween(Window.unboundedPreceding, -1)
-    ranks = n.withColumn("rank", F.coalesce(F.sum("n").over(w), F.lit(0)) + 1 + (F.col("n") - 1) / 2.0)
-    return p.join(F.broadcast(ranks.select("p_size", "rank")), "p_size").select("p_partkey", "rank")
+    return average_ranks(v.table("part").select("p_partkey", "p_size"), "p_size").select("p_partkey", "rank")
 
 
 @query("o_w16_minmax", "bench", sql="select file, round(case when max(raw) over w > min(raw) over w then (raw - min(raw) over w) / (max(raw) over w - min(raw) over w) else 0.5 end, 6) as scaled from bench window w as (partition by section)")

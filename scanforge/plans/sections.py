@@ -12,7 +12,7 @@ from ..operators.ranks import numbered
 from ..sources import mzml
 from ..sources import tables as readers
 from ..sources.views import Views
-from .catalog import CODES, ISLAND_ARRAYS, PAIRS, codes, island_arrays, long, paired, pairs, query, r
+from .catalog import CODES, ISLAND_ARRAYS, PAIRED, PAIRS, codes, island_arrays, long, paired, pairs, query, r
 
 # ---------------------------------------------------------------- sources and sinks
 
@@ -400,7 +400,16 @@ def _(v: Views) -> DataFrame:
 # ---------------------------------------------------------------- statistics
 
 
-@query("o_m4_exact_wilcoxon")
+EXACT = f"""{PAIRED.replace(", p as", ", own as", 1).replace("from p where", "from own where")}, d as (select floor((sample - 1) / 30.0)::bigint as part, d from q where d <> 0),
+r as (select part, d, (2 * rank() over w + count(*) over (partition by part, abs(d)) - 1)::bigint as r2, row_number() over (partition by part order by abs(d), d) as k from d window w as (partition by part order by abs(d))),
+g as (select part, count(*) as n, least(coalesce(sum(r2) filter (where d > 0), 0), coalesce(sum(r2) filter (where d < 0), 0)) as w2 from r group by part),
+dp as (select part, 0::bigint as k, 0::bigint as s, 1::double as ways from g union all
+  select part, k, s, sum(ways) from (select dp.part, r.k, dp.s + x * r.r2 as s, dp.ways from dp join r on r.part = dp.part and r.k = dp.k + 1, (values (0), (1)) v(x)) group by part, k, s),
+low as (select g.part, g.n, sum(dp.ways) filter (where dp.s <= g.w2) as ways from g join dp on dp.part = g.part and dp.k = g.n group by g.part, g.n)
+select distinct floor((q.sample - 1) / 30.0)::bigint as part, coalesce(low.n, 0) as n, round(least(1, 2 * low.ways / pow(2, low.n)), 6) as p_value from q left join low on low.part = floor((q.sample - 1) / 30.0)::bigint"""
+
+
+@query("o_m4_exact_wilcoxon", "bench", sql=EXACT)
 def _(v: Views) -> DataFrame:
     """Exact p of the samples' pairs, in tables of 30 consecutive samples (the reference's has 30 files); no pair is left out."""
     q = paired(v).select(F.floor((F.col("sample") - 1) / 30).cast("long").alias("part"), F.round(F.col("a") - F.col("b"), 6).alias("d"))

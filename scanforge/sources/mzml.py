@@ -129,9 +129,9 @@ def supported(spark: SparkSession, path: str, refuse: str = "timstof") -> DataFr
     return found.where(~F.contains(F.lower("path"), F.lit(refuse)) & ~F.contains("head", F.lit(refuse))).select("path", "length").orderBy("path")
 
 
-def skeleton(xml: Column) -> Column:
-    """The document without its payloads."""
-    emptied = F.regexp_replace(xml, r"(<binary[^>]*>)[^<]*(</binary>)", "$1$2")
+def skeleton(xml: Column, tag: str = "binary") -> Column:
+    """The document without its payloads, the text of elements ``tag``."""
+    emptied = F.regexp_replace(xml, rf"(<{tag}\b[^>]*>)[^<]*(</{tag}>)", "$1$2")
     return F.regexp_replace(emptied, r'encodedLength="\d+"', 'encodedLength="0"')
 
 
@@ -233,4 +233,4 @@ def file_type(spectra: DataFrame, sample: int = 200) -> DataFrame:
     name = F.upper("file_id")
     few = spectra.where(F.col("spectrum_index") < sample).groupBy("file_id").agg(F.count(F.when(F.col("ms_level") == 2, 1)).alias("n"), F.count_distinct(F.when(F.col("ms_level") == 2, F.round("window.target", 2))).alias("d"))
     by_target = F.when(F.col("n") == 0, "UNKNOWN").when((F.col("d") < 50) & (F.col("n") / F.greatest("d", F.lit(1)) > 5), "DIA").otherwise("DDA")
-    return few.select("file_id", F.when(F.contains(name, F.lit("DIA")), "DIA").when(F.contains(name, F.lit("DDA")), "DDA").otherwise(by_target).alias("file_type"))
+    return few.select("file_id", "n", "d", F.when(F.contains(name, F.lit("DIA")), "DIA").when(F.contains(name, F.lit("DDA")), "DDA").otherwise(by_target).alias("file_type"))

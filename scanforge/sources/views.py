@@ -92,4 +92,4 @@ SQL = {
 
 
 def with_views(*names: str) -> str:
-    return "with " + ",\n".join(SQL[n] for n in names)
+    return "with recursive " + ",\n".join(SQL[n] for n in names)
