@@ -43,6 +43,7 @@ from pyspark.sql import types as T
 
 from .common import byte_slices, drop_path, held_table, lean, packed, partitions, pin, unpacked, unpin
 from .induced import repeated_starts
+from .passages import WINDOW, repeated_words
 
 LENGTH, GRAM, STRETCH = 400, 24, 1_000_000
 BLOCK, CROWD, SHARD = 64, 20_000, 1 << 22
@@ -68,24 +69,30 @@ def gram_hashes(raw: np.ndarray) -> np.ndarray:
     return h
 
 
-def anchors(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, anchor, first start, last start) of each run of starts that share an anchor."""
-    out = []
-    window = LENGTH - GRAM + 1
-    for low in range(0, len(text) - LENGTH + 1, STRETCH):
-        raw = np.frombuffer(text, np.uint8, min(STRETCH + LENGTH - 1, len(text) - low), low)
-        h = gram_hashes(raw)
+def least_runs(h: np.ndarray, window: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(place, first, last) of the runs of windows that have their smallest hash, rightmost among equals, in one place."""
+    for base in range(0, len(h) - window + 1, STRETCH):
+        own = h[base : base + STRETCH + window - 1]
         mask = np.uint64((1 << PLACE_BITS + 1) - 1)
-        least = (h & ~mask) | (mask - np.arange(len(h), dtype=np.uint64))
-        size = 1
+        least = (own & ~mask) | (mask - np.arange(len(own), dtype=np.uint64))
+        size, n = 1, len(own) - window + 1
         while size * 2 <= window:
             least = np.minimum(least[:-size], least[size:])
             size *= 2
-        least = np.minimum(least[: len(raw) - LENGTH + 1], least[window - size : window - size + len(raw) - LENGTH + 1])
+        least = np.minimum(least[:n], least[window - size : window - size + n])
         change = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
         at = (mask - (least[change] & mask)).astype(np.int64)
-        last = np.r_[change[1:], len(least)] - 1
-        out.append((h[at].view(np.int64), at + low, change + low, last + low))
+        yield at + base, change + base, np.r_[change[1:], n] - 1 + base
+
+
+def anchors(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, anchor, first start, last start) of each run of starts that share an anchor."""
+    out = []
+    for low in range(0, len(text) - LENGTH + 1, STRETCH):
+        raw = np.frombuffer(text, np.uint8, min(STRETCH + LENGTH - 1, len(text) - low), low)
+        h = gram_hashes(raw)
+        for at, first, last in least_runs(h, LENGTH - GRAM + 1):
+            out.append((h[at].view(np.int64), at + low, first + low, last + low))
     if not out:
         none = np.zeros(0, np.int64)
         return none, none, none, none
@@ -326,14 +333,14 @@ class Repeats:
             unpin(held)
         return out
 
-    def cut(self, schema: str, each) -> DataFrame:
-        """``each(kept bytes, removed, spans)`` of every class, as columns after k1 and k2."""
+    def cut(self, schema: str, each, words: bool = False) -> DataFrame:
+        """``each(kept bytes, removed, spans)`` of every class, as columns after k1 and k2, then its words and members."""
 
-        def run(k1, k2, x, cuts):
+        def run(k1, k2, x, cuts, m=None):
             rows = [each(*remove(memoryview(t.as_buffer()), c.as_py())) for t, c in zip(x, cuts)]
-            return k1, k2, *zip(*rows)
+            return k1, k2, *zip(*rows), *([[word_count(t.as_buffer()) for t in x], m] if words else [])
 
-        joined = self.classes.join(self.ranges.hint("merge"), ["k1", "k2"], "left").select("k1", "k2", "x", "cuts")
+        joined = self.classes.join(self.ranges.hint("merge"), ["k1", "k2"], "left").select("k1", "k2", "x", "cuts", *(["m"] if words else []))
         return mapped(joined, schema, run)
 
     def close(self) -> None:
@@ -356,13 +363,22 @@ def remove(raw: memoryview, cuts: list | None) -> tuple[bytes, int, int]:
     return b"".join(kept), gone, spans
 
 
+def word_count(raw: pa.Buffer) -> int:
+    return len(raw.to_pybytes().split())
+
+
 def removal_report(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Per row: doc_id, n_bytes, n_removed, n_spans and the digest of the kept bytes."""
+    """Per row: doc_id, n_bytes, n_removed, n_spans and the digest of the kept bytes; n_repeated_words, the words that lie
+    in runs of 50 or more that another row has too (passages under LENGTH bytes among them, which are not removed)."""
     found = Repeats(docs.select("doc_id", text), text)
-    schema = "k1 long, k2 long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    told = pin(found.cut(schema, lambda kept, gone, spans: (len(kept) + gone, gone, spans, hashlib.sha256(kept).hexdigest())), "removed")
+    schema = "k1 long, k2 long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_words long, m long"
+    told = pin(found.cut(schema, lambda kept, gone, spans: (len(kept) + gone, gone, spans, hashlib.sha256(kept).hexdigest()), words=True), "removed")
+    words = repeated_words(found.classes, found.cutting, mapped)
     found.close()
-    return found.keyed.select("doc_id", "k1", "k2").join(told.hint("merge"), ["k1", "k2"]).drop("k1", "k2")
+    both = told.join(words.hint("merge"), ["k1", "k2"], "left")
+    n = F.when((F.col("m") > 1) & (F.col("n_words") >= WINDOW), F.col("n_words")).otherwise(F.coalesce("n_repeated_words", F.lit(0)))
+    out = found.keyed.select("doc_id", "k1", "k2").join(both.withColumn("n_repeated_words", n).hint("merge"), ["k1", "k2"])
+    return out.drop("k1", "k2", "m", "n_words")
 
 
 def kept_texts(docs: DataFrame, text: str = "text") -> DataFrame:
