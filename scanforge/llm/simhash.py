@@ -11,7 +11,8 @@ are found by an equi-join on keys with the bit count in the join condition, and
 tables (ids and fingerprints) are written to the shared folder; texts are read once and never shuffled.
 
 Defined results: null and empty texts have no words and fingerprint zero; a null doc_id takes part through its
-fingerprint but is never a component's name; rows that repeat a doc_id are one document for the links.
+fingerprint but is never a component's name; rows that repeat a doc_id are one document for the links; an empty table
+gives an empty result.  Only doc_id and the text are read, so no name clashes.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import components, pin
+from .common import byte_slices, components, lean, pin, unpin
 
 SEED = 42
 #: Fixed value: generator polynomial of the binary (23,12) Golay code.
@@ -121,7 +122,7 @@ def fingerprints(docs: DataFrame, text: str = "text", size: int = 3) -> DataFram
             fps = np.array([fingerprint(hashes(words(t.as_py()), size)) for t in batch.column(text)], np.uint64)
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in keep), pa.array(fps.view(np.int64))], names=out.names)
 
-    return docs.mapInArrow(run, out)
+    return docs.mapInArrow(lean(run), out)
 
 
 def fingerprint_links(fps: DataFrame, bits: int = 2) -> DataFrame:
@@ -156,6 +157,8 @@ def near_groups(docs: DataFrame, text: str = "text", size: int = 3, bits: int =
 
 #: Of each of PRINTS fingerprints NEAR bits may differ in a pair that is compared ahead of the others.
 PRINTS, NEAR = 6, 13
+#: Bits by which sets that differ in too many members are told apart without being compared.
+PARITY = 512
 
 
 def word_prints(own: list[bytes]) -> list[int]:
@@ -170,40 +173,52 @@ def shingle_set(own: list[bytes], size: int) -> np.ndarray:
     return np.unique(hashes(own, size).view(np.int64)) if own else np.zeros(1, np.int64)
 
 
+def parity(s: np.ndarray) -> np.ndarray:
+    """PARITY bits of a set, each the parity of its members that fall there: two sets differ in as many members at least
+    as these differ in bits."""
+    odd = np.bincount(s & (PARITY - 1), minlength=PARITY) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def least_common(n: int, least: float) -> int:
     """So many shingles a set of ``n`` has in common with any that is ``least`` alike."""
     return math.ceil(least * n - 1e-6)
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
-    """The same rows in small batches, so that a worker holds the shingles of few texts."""
-    for batch in batches:
-        for i in range(0, batch.num_rows, rows):
-            yield batch.slice(i, rows)
+def relabelled(of: DataFrame, links: DataFrame) -> DataFrame:
+    """The groups ``of`` (id, tree) after ``links`` (a, b) joined some; only names of groups are contracted."""
+    ends = links.join(of.select(F.col("id").alias("a"), F.col("tree").alias("x")).hint("merge"), "a").join(of.select(F.col("id").alias("b"), F.col("tree").alias("y")).hint("merge"), "b")
+    tree = components(ends.select("x", "y").where("x <> y").distinct(), "x", "y")
+    out = pin(of.join(tree, F.col("tree") == F.col("node"), "left").select("id", F.coalesce("component", "tree").alias("tree")), "groups")
+    unpin(of)
+    return out
 
 
 def near_copies(docs: DataFrame, text: str = "text", size: int = 5, least: float = 0.8) -> DataFrame:
     """doc_id and component_id for documents whose text others repeat or nearly repeat (without those that stand alone).
 
-    Near means a Jaccard similarity of ``least`` or more between the sets of ``size``-word shingles; no such pair is missed:
+    Near means a Jaccard similarity of ``least`` or more between the sets of ``size``-word shingles; no such pair is left
+    apart:
 
     * Sets that have c in common have the first k of these among their first n - c + k in any order.  By the order of
       the hashes, most texts have too few shingles there that stand in another text's, and are settled.
     * Among the rest, each text is compared with the first one under each of its Golay keys.
-    * Two texts that this has not joined are compared if they share one of the first n - c + 1 shingles, rare ones first,
-      and if the shingles that stand in any second text suffice for ``least``.
+    * Two texts of different groups are compared if they share one of the first n - c + 1 shingles, rare ones first, and
+      if the shingles that stand in any second text suffice for ``least``: first each text with one of another group
+      under each shingle, which joins most of a large group with as many comparisons as it has postings, then all
+      that are still apart and whose parities do not already differ in more bits than ``least`` leaves members to differ.
 
-    Rows without a doc_id are left out; rows that repeat one go with it."""
+    Rows without a doc_id are left out; rows that repeat one go with it; empty texts are copies of each other."""
     whole = F.coalesce(F.col(text), F.lit(""))
     own = docs.where("doc_id is not null").select("doc_id", F.xxhash64(whole).alias("k1"), F.xxhash64(F.lit(7), whole).alias("k2"), whole.alias("t"))
     marked = pin(own.select("doc_id", "k1", "k2"), "marked")
-    first = marked.groupBy("k1", "k2").agg(F.min("doc_id").alias("first"))
+    first = pin(marked.groupBy("k1", "k2").agg(F.min("doc_id").alias("first")), "first")
 
     def spare(n: int) -> int:
         return 1 + int(least * n) // 8
 
     def low(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in byte_slices(batches, "t", 1 << 20):
             sets = [shingle_set(words(t.as_py()), size) for t in batch.column("t")]
             sizes = [len(x) for x in sets]
             heads = [x[: n - least_common(n, least) + spare(n)] for x, n in zip(sets, sizes)]
@@ -211,33 +226,29 @@ def near_copies(docs: DataFrame, text: str = "text", size: int = 5, least: float
             k1, need = np.repeat(np.asarray(batch.column("k1")), count), np.repeat(np.array([spare(least_common(n, least)) for n in sizes], np.int64), count)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *heads])), pa.array(k1), pa.array(need)], names=["h", "k1", "need"])
 
-    w = Window.partitionBy("h")
-    heads = own.select("k1", "t").mapInArrow(low, "h long, k1 long, need long")
-    shared = heads.withColumns({"x": F.min("k1").over(w), "y": F.max("k1").over(w)}).where("x <> y")
-    alive = shared.groupBy("k1", "h").agg(F.first("need").alias("need")).groupBy("k1").agg(F.count(F.lit(1)).alias("n"), F.first("need").alias("need")).where("n >= need")
+    heads = pin(own.select("k1", "t").mapInArrow(lean(low), "h long, k1 long, need long").dropDuplicates(["h", "k1"]), "heads")
+    common_ = pin(heads.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "common")
+    alive = heads.join(common_.hint("merge"), "h").groupBy("k1").agg(F.count(F.lit(1)).alias("n"), F.max("need").alias("need")).where("n >= need")
     named = pin(first.join(alive, "k1").select(F.col("first").alias("doc_id"), "k1", "k2"), "named")
+    for held in (heads, common_):
+        unpin(held)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in byte_slices(batches, "t", 1 << 20):
             texts = [words(t.as_py()) for t in batch.column("t")]
             f = np.array([word_prints(x) for x in texts], np.uint64).reshape(-1, PRINTS).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("k1"), pa.array(list(f), pa.list_(pa.int64())), pa.array([shingle_set(x, size) for x in texts], pa.list_(pa.int64()))], names=["id", "k1", "f", "s"])
-
-    found = own.join(named, ["doc_id", "k1", "k2"], "left_semi").select("doc_id", "k1", "t")
-    sets = pin(found.mapInArrow(gather, "id long, k1 long, f array<long>, s array<long>").dropDuplicates(["id", "k1"]), "sets")
+            sets_ = [shingle_set(x, size) for x in texts]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("k1"), pa.array(list(f), pa.list_(pa.int64())), pa.array(sets_, pa.list_(pa.int64())), pa.array([parity(x) for x in sets_], pa.list_(pa.int64()))], names=["id", "k1", "f", "s", "b"])
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = []
-            for x, y in zip(batch.column("sa"), batch.column("sb")):
-                x, y = np.asarray(x.values), np.asarray(y.values)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(both >= least * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
+    found = own.join(named.hint("merge"), ["doc_id", "k1", "k2"], "left_semi").select("doc_id", "k1", "t")
+    sets = pin(found.mapInArrow(lean(gather), "id long, k1 long, f array<long>, s array<long>, b array<long>").dropDuplicates(["id", "k1"]), "sets")
 
     def links(pairs: DataFrame) -> DataFrame:
+        """The pairs that are alike enough."""
         sa, sb = sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), sets.select(F.col("id").alias("b"), F.col("s").alias("sb"))
-        return pin(pin(pairs, "pairs").join(sa, "a").join(sb, "b").select("a", "b", "sa", "sb").mapInArrow(verify, "a long, b long").distinct(), "links")
+        both = F.size(F.array_intersect("sa", "sb"))
+        good = both >= least * (F.size("sa") + F.size("sb") - both) - 1e-9
+        return pin(pin(pairs, "pairs").join(sa.hint("merge"), "a").join(sb.hint("merge"), "b").where(good).select("a", "b").distinct(), "links")
 
     def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -246,26 +257,48 @@ def near_copies(docs: DataFrame, text: str = "text", size: int = 5, least: float
                 who, k = keys(np.ascontiguousarray(f[:, j]))
                 yield pa.RecordBatch.from_arrays([pa.array(k | np.int64(j) << 44), pa.array(ids[who]), pa.array(f[who, j].view(np.int64))], names=["key", "id", "f"])
 
-    keyed = sets.select("id", "f").mapInArrow(key, "key long, id long, f long")
-    hubs = keyed.groupBy("key").agg(F.min(F.struct("id", "f")).alias("hub"))
+    keyed = pin(sets.select("id", "f").mapInArrow(lean(key), "key long, id long, f long"), "keyed")
+    hubs = pin(keyed.groupBy("key").agg(F.min(F.struct("id", "f")).alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "hub"), "hubs")
     near = (F.col("hub.id") < F.col("id")) & (F.bit_count(F.col("hub.f").bitwiseXOR(F.col("f"))) <= NEAR)
     ahead = links(keyed.join(hubs.hint("merge"), "key").where(near).select(F.col("hub.id").alias("a"), F.col("id").alias("b")).distinct())
-    copies = marked.join(first.hint("merge"), ["k1", "k2"]).where("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
-    up = ahead.groupBy("b").agg(F.min("a").alias("a"))
-    # texts with the same name here are joined already
-    tree = up.join(up.select(F.col("b").alias("a"), F.col("a").alias("top")), "a", "left").select(F.col("b").alias("node"), F.coalesce("top", "a").alias("tree"))
+    # texts that repeat a doc_id have one name
+    of = relabelled(pin(sets.select("id", F.col("id").alias("tree")).distinct(), "alone"), ahead)
 
+    each = sets.select("id", "k1", F.size("s").alias("n"), F.explode("s").alias("h"))
+    often = pin(each.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "often")
     one = Window.partitionBy("id", "k1")
-    posted = sets.select("id", "k1", F.size("s").alias("n"), F.explode("s").alias("h")).withColumn("df", F.count(F.lit(1)).over(w)).where("df > 1")
-    posted = posted.withColumns({"common": F.count(F.lit(1)).over(one), "pos": F.row_number().over(one.orderBy("df", "h"))})
+    posted = each.join(often.hint("merge"), "h").withColumns({"common": F.count(F.lit(1)).over(one), "pos": F.row_number().over(one.orderBy("df", "h"))})
     c = F.ceil(F.col("n") * least - 1e-6)
-    posted = posted.where((F.col("common") >= c) & (F.col("pos") <= F.col("common") - c + 1)).select("id", "h", "n", "common")
-    posted = pin(posted.join(tree, F.col("id") == F.col("node"), "left").select("id", "h", "n", "common", F.coalesce("tree", "id").alias("tree")), "posted")
-    a, b = (posted.select("h", *(F.col(x).alias(f"{x}_{y}") for x in ("id", "n", "common", "tree"))) for y in "ab")
-    enough = F.least("common_a", "common_b") * (1 + least) >= (F.col("n_a") + F.col("n_b")) * least - 1e-6
-    apart = (a["h"] == b["h"]) & (F.col("id_a") < F.col("id_b")) & (F.col("tree_a") != F.col("tree_b")) & enough
-    rest = links(a.join(b.hint("merge"), apart).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct())
-    out = components(ahead.unionByName(rest).unionByName(copies), "a", "b")
+    posted = pin(posted.where((F.col("common") >= c) & (F.col("pos") <= F.col("common") - c + 1)).select("id", "k1", "h", "n", "common"), "posted")
+
+    def enough(x: str, y: str) -> F.Column:
+        return F.least(F.col(f"{x}.common"), F.col(f"{y}.common")) * (1 + least) >= (F.col(f"{x}.n") + F.col(f"{y}.n")) * least - 1e-6
+
+    def grouped() -> DataFrame:
+        return pin(posted.join(of.hint("merge"), "id").select("h", "tree", "id", "k1", "n", "common"), "grouped")
+
+    rows = grouped()
+    for pick in (F.min, F.max):
+        hub = pin(rows.groupBy("h").agg(pick(F.struct("tree", "id", "n", "common")).alias("hub"), F.min("tree").alias("low"), F.max("tree").alias("high")).where("low <> high").select("h", "hub"), "hubs")
+        apart = rows.alias("r").join(hub.hint("merge"), "h").where((F.col("hub.tree") != F.col("r.tree")) & enough("hub", "r"))
+        more = links(apart.select(F.least("hub.id", "r.id").alias("a"), F.greatest("hub.id", "r.id").alias("b")).distinct())
+        if not more.isEmpty():
+            of = relabelled(of, more)
+            unpin(rows)
+            rows = grouped()
+    mixed = pin(rows.groupBy("h").agg(F.min("tree").alias("low"), F.max("tree").alias("high")).where("low <> high").select("h"), "mixed")
+    words_ = range(PARITY // 64)
+    bits = sets.select("id", "k1", *(F.get("b", F.lit(i)).alias(f"b{i}") for i in words_))
+    left = pin(rows.join(mixed.hint("merge"), "h").join(bits.hint("merge"), ["id", "k1"]), "left")
+    differ = sum((F.bit_count(F.col(f"a.b{i}").bitwiseXOR(F.col(f"b.b{i}"))) for i in words_), F.lit(0))
+    few = differ * (1 + least) <= (F.col("a.n") + F.col("b.n")) * (1 - least) + 1e-6
+    apart = (F.col("a.h") == F.col("b.h")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.tree") != F.col("b.tree")) & enough("a", "b") & few
+    rest = links(left.alias("a").join(left.alias("b").hint("merge"), apart).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct())
+    if not rest.isEmpty():
+        of = relabelled(of, rest)
+    # copies go with the first of their text; a doc_id with several texts joins their groups
+    copies = marked.join(first.hint("merge"), ["k1", "k2"]).where("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
+    out = components(of.where("id <> tree").select(F.col("tree").alias("a"), F.col("id").alias("b")).unionByName(copies), "a", "b")
     return out.select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
 
 
