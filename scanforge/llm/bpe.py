@@ -26,6 +26,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .common import byte_slices, lean, trim
+
 #: The tokenizer's published word pattern.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
@@ -292,10 +294,11 @@ BLANK, LETTER, NUMBER, OTHER = range(4)
 def char_kinds() -> np.ndarray:
     """The kind of every code point, by the classes of the word pattern."""
     out = np.full(0x110000, OTHER, np.uint8)
-    every = "".join(map(chr, range(0xD800))) + "?" * 0x800 + "".join(map(chr, range(0xE000, 0x110000)))
-    for kind, pattern in ((BLANK, r"\s+"), (LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+")):
-        for m in regex.finditer(pattern, every):
-            out[m.start() : m.end()] = kind
+    for low in range(0, 0x110000, 0x800):  # the surrogates are one such stretch
+        every = "" if low == 0xD800 else "".join(map(chr, range(low, low + 0x800)))
+        for kind, pattern in ((BLANK, r"\s+"), (LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+")):
+            for m in regex.finditer(pattern, every):
+                out[low + m.start() : low + m.end()] = kind
     return out
 
 
@@ -323,6 +326,13 @@ def encoder(spec: str) -> Encoder:
     return _encoders[at]
 
 
+def forget() -> None:
+    """Drop the worker's encoders; the next use makes them again."""
+    if _encoders:
+        _encoders.clear()
+        trim()
+
+
 def read_spec(path: str) -> str:
     with open(path, encoding="utf-8") as f:
         return f.read()
@@ -336,7 +346,7 @@ def encode_documents(docs: DataFrame, vocab_path: str, text: str = "text", with_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(spec.value)
-        for batch in batches:
+        for batch in byte_slices(batches, text):
             ids, says = [], []
             for some in blocks(batch.column(text).to_pylist()):
                 got = enc.block(some)
@@ -346,7 +356,7 @@ def encode_documents(docs: DataFrame, vocab_path: str, text: str = "text", with_
             cols += [pa.array(ids, pa.list_(pa.int32())), pa.array([len(x) for x in ids], pa.int64())]
             yield pa.RecordBatch.from_arrays(cols + ([pa.array(says, pa.string())] if with_text else []), names=out.names)
 
-    return docs.mapInArrow(run, out)
+    return docs.mapInArrow(lean(run), out)
 
 
 def digests(docs: DataFrame, vocab_path: str) -> DataFrame:
@@ -356,7 +366,7 @@ def digests(docs: DataFrame, vocab_path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(spec.value)
-        for batch in batches:
+        for batch in byte_slices(batches, "text"):
             n, a, b = [], [], []
             for some in blocks(batch.column("text").to_pylist()):
                 for ids in enc.block(some):
@@ -365,4 +375,4 @@ def digests(docs: DataFrame, vocab_path: str) -> DataFrame:
                     b.append(hashlib.sha256(enc.decode(ids).encode("utf-8")).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=out.names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, out)
+    return docs.select("doc_id", "text").mapInArrow(lean(run), out)

@@ -176,8 +176,9 @@ def ranked(df: DataFrame, group: list[str], order: list[Column], name: str = "ra
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
     """Connected components of the undirected ``edges``: columns ``node`` and ``component`` (smallest node id).
 
-    Alternating large-star and small-star steps.  Each keeps the edge count at or below its input, joins nothing
-    and groups with partial aggregates; links and labels stay in Spark, only one counter a round reaches the driver."""
+    Alternating large-star and small-star steps.  Each keeps the edge count at or below its input; least neighbours are
+    partial aggregates, joined back to slim edges by sort-merge joins that spill.  Links and labels stay in Spark, only
+    one counter a round reaches the driver."""
     spark = edges.sparkSession
     now = pin(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges")
 

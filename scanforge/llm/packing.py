@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import blocks, encoder, read_spec
-from .common import pin, ranked
+from .common import byte_slices, lean, pin, ranked
 
 CAPACITY = 4096
 END = 1
@@ -38,7 +38,7 @@ def token_pieces(docs: DataFrame, vocab_path: str, capacity: int = CAPACITY, end
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(spec.value)
-        for batch in batches:
+        for batch in byte_slices(batches, "text"):
             at, rows = 0, []
             for some in blocks(batch.column("text").to_pylist()):
                 for ids in enc.block(some):
@@ -52,7 +52,7 @@ def token_pieces(docs: DataFrame, vocab_path: str, capacity: int = CAPACITY, end
                 cols.append(pa.array([r[3].astype(np.int32) for r in rows], pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays(cols, names=out.names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, out)
+    return docs.select("doc_id", "text").mapInArrow(lean(run), out)
 
 
 def tighter_pair(open_: np.ndarray, left: np.ndarray, room: int, least: int) -> tuple[int, int] | None:

@@ -6,7 +6,7 @@ in each direction, read windows of ``WINDOW`` words; attention pools their state
 (``STRIDE`` < ``WINDOW``), cover the whole text, and the highest logit is the document's, so a long text is judged by
 its worst passage and never by a prefix.
 
-The network is fitted on the driver on a bounded sample of labelled rows: the ``SAMPLE`` toxic and twice as many clean
+The network is fitted in one task on a bounded sample of labelled rows (a lost one is repeated): the ``SAMPLE`` toxic and twice as many clean
 ones with the smallest hashes.  Of a sampled text over ``LONGEST`` characters it learns from stretches spread evenly
 over the whole of it, so the sample is bounded and holds texts of every length.  A window is learned from each sampled
 document: at first any, then the one the network itself scores highest.  A part of the sample is set aside to fit the
@@ -20,6 +20,8 @@ text pass unchanged, and an input column named ``score`` is replaced.
 
 from __future__ import annotations
 
+import pickle
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,12 +30,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bpe import LETTER, NUMBER, blocks, char_kinds
-from .common import lean, trim
+from .bpe import LETTER, NUMBER, blocks, char_kinds, forget
+from .common import byte_slices, lean
 
 SAMPLE, LONGEST, PIECE = 800, 30_000, 1000
 #: Characters that are scored at a time, at least one whole text.
 BLOCK = 400_000
+#: Distinct words whose inputs are made at a time.
+PART = 20_000
 WINDOW, STRIDE, HIDDEN, EMBED, BUCKETS = 32, 24, 8, 8, 1 << 18
 STEPS, TURN, BATCH, LEAST_TEXTS = 240, 20, 128, 4
 GRAMS = (3, 4, 5)
@@ -56,14 +60,14 @@ class Features:
         self.text_cut = np.searchsorted(begin, stops)
         if not len(begin):
             self.which = np.zeros(0, np.int64)
-            self.word = np.zeros(0, np.int64)
+            self.word, self.mark = np.zeros(0, np.int64), np.zeros(0, np.uint64)
             self.gram, self.gram_at = np.zeros(0, np.int64), np.zeros(0, np.int64)
             return
         head = np.r_[0, np.cumsum(size)]
         place = np.arange(head[-1]) - np.repeat(head[:-1], size)
         spread = (cp[place + np.repeat(begin, size)] + np.uint64(77)) * _mix[place & 31] * (np.uint64(1) + (place >> 5).astype(np.uint64))
         mark = np.add.reduceat(spread ^ spread >> np.uint64(29), head[:-1])
-        _, first, self.which = np.unique(mark, return_index=True, return_inverse=True)
+        self.mark, first, self.which = np.unique(mark, return_index=True, return_inverse=True)
         self.word = (mark[first] >> np.uint64(20)).astype(np.int64) % BUCKETS
         begin, size = begin[first], size[first]
         grams, own = [], []
@@ -80,6 +84,34 @@ class Features:
         self.gram = np.concatenate(grams)[order]
         self.gram_at = np.concatenate(own)[order]
 
+    @classmethod
+    def of_many(cls, texts: list[str]) -> Features:
+        """The same for many texts, made block by block: of each block only the words that are new are kept."""
+        known, n = np.zeros(0, np.uint64), 0
+        marks, cuts, new, held = [], [], [], []
+        for some in blocks(texts, BLOCK):
+            f = cls(some)
+            fresh = np.flatnonzero(~np.isin(f.mark, known))
+            new.append(f.mark[fresh])
+            held.append(subset(f, fresh))
+            marks.append(f.mark[f.which] if len(f.which) else f.mark)
+            cuts.append(f.text_cut + n)
+            known, n = np.union1d(known, f.mark), n + len(f.which)
+        if not held:
+            return cls([])
+        order = np.argsort(np.concatenate(new))
+        out = object.__new__(cls)
+        out.mark = known
+        out.which, out.text_cut = np.searchsorted(known, np.concatenate(marks)), np.concatenate(cuts)
+        out.word = np.concatenate([f.word for f in held])[order]
+        starts = np.cumsum([0] + [len(f.word) for f in held])
+        all_ = object.__new__(cls)
+        all_.word = np.zeros(len(order), np.int64)
+        all_.gram, all_.gram_at = np.concatenate([f.gram for f in held]), np.concatenate([f.gram_at + a for f, a in zip(held, starts)])
+        own = subset(all_, order)
+        out.gram, out.gram_at = own.gram, own.gram_at
+        return out
+
     def inputs(self, p: dict) -> np.ndarray:
         """Word and character inputs of each distinct word."""
         n = len(self.word)
@@ -87,8 +119,13 @@ class Features:
             return np.zeros((0, 2 * EMBED), np.float32)
         starts = np.searchsorted(self.gram_at, np.arange(n))
         self.many = np.diff(np.r_[starts, len(self.gram)])
-        mean = np.add.reduceat(p["gram"][self.gram], starts, axis=0) / self.many[:, None]
-        return np.concatenate([p["word"][self.word], mean], 1)
+        out = np.empty((n, 2 * EMBED), np.result_type(p["word"], np.float32))
+        out[:, :EMBED] = p["word"][self.word]
+        for low in range(0, n, PART):
+            own = starts[low : low + PART]
+            last = starts[low + PART] if low + PART < n else len(self.gram)
+            out[low : low + PART, EMBED:] = np.add.reduceat(p["gram"][self.gram[own[0] : last]], own - own[0], axis=0) / self.many[low : low + PART, None]
+        return out
 
     def windows(self) -> tuple[np.ndarray, np.ndarray]:
         """(windows x WINDOW numbers of distinct words, -1 beyond a short text) and the text of each window."""
@@ -216,7 +253,7 @@ class Adam:
             self.p[k][rows] -= fix * m / (np.sqrt(v) + 1e-7)
 
 
-def window_logits(p: dict, feats: Features, at: np.ndarray, step: int = 4096) -> np.ndarray:
+def window_logits(p: dict, feats: Features, at: np.ndarray, step: int = 1024) -> np.ndarray:
     gates = gates_of(p, feats.inputs(p))
     return np.concatenate([forward(p, gates, at[i : i + step]) for i in range(0, len(at), step)]) if len(at) else np.zeros(0)
 
@@ -241,7 +278,7 @@ def train(texts: list[str], label: np.ndarray, steps: int = STEPS, seed: int = 1
     adam = Adam(p, 0.01)
     y = label.astype(np.float32)
     kinds = [np.flatnonzero(y[own] == k) for k in (0, 1)]
-    held = Features([texts[i] for i in own])
+    held = Features.of_many([texts[i] for i in own])
     at, text = held.windows()
     starts = np.searchsorted(text, np.arange(len(own)))
     many = np.diff(np.r_[starts, len(text)])
@@ -278,7 +315,7 @@ def train(texts: list[str], label: np.ndarray, steps: int = STEPS, seed: int = 1
 
 def better(p: dict, texts: list[str], y: np.ndarray, best: tuple[float, dict] | None) -> tuple[float, dict]:
     """The parameters, scaled on the texts set aside, if they predict those better than the best so far."""
-    logit = highest(p, texts)[0]
+    logit = np.concatenate([highest(p, some)[0] for some in blocks(texts, BLOCK)])
     fit_ = scale(logit, y)
     q = np.clip(sigmoid(fit_["scale"] * logit + fit_["shift"]), 1e-6, 1 - 1e-6)
     loss = float(-(y * np.log(q) + (1 - y) * np.log(1 - q)).mean())
@@ -334,13 +371,18 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, longest: int =
     chosen = docs.sparkSession.createDataFrame([(r["doc_id"], r["toxic"]) for r in ids], "doc_id long, toxic int")
     # documents that repeat a sampled doc_id are one text each, so that the sample stays bounded
     found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
-    rows = sorted(found.select("doc_id", "toxic", spread(F.col("text"), longest).alias("text")).collect(), key=lambda r: r["doc_id"])
-    y = np.array([r["toxic"] for r in rows])
-    if len(rows) < 10 or len(set(y.tolist())) < 2:
-        return None
-    model = train([r["text"] or "" for r in rows], y)
-    trim()
-    return model
+    sample_ = found.select("doc_id", "toxic", spread(F.col("text"), longest).alias("text")).repartition(1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
+        rows = sorted(((r["doc_id"], r["toxic"], r["text"] or "") for batch in batches for r in batch.to_pylist()), key=lambda r: r[0])
+        y = np.array([r[1] for r in rows])
+        if len(rows) >= 10 and len(set(y.tolist())) == 2:
+            model = zlib.compress(pickle.dumps(train([r[2] for r in rows], y)), 1)
+            yield pa.RecordBatch.from_arrays([pa.array([model], pa.binary())], names=["model"])
+
+    got = sample_.mapInArrow(lean(run), "model binary").collect()
+    return pickle.loads(zlib.decompress(got[0]["model"])) if got else None
 
 
 def spread(text: Column, longest: int, piece: int = PIECE) -> Column:
@@ -358,7 +400,8 @@ def score(docs: DataFrame, model: dict | None, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = held.value
-        for batch in batches:
+        forget()  # a worker that scores has no use for the tables of an encoder it ran before
+        for batch in byte_slices(batches, text):
             got: list[float] = []
             for some in blocks(batch.column(text).to_pylist(), BLOCK):
                 if p is None:
