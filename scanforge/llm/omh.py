@@ -57,15 +57,20 @@ def numbered_hash(v: Column, at: Column) -> Column:
 
 def tuples(sample: Column) -> Column:
     """32 bits for each of TUPLES hash functions, from the two smallest of the sample in text order; null without k-mers."""
-    mixed = lambda j: F.transform(sample, lambda y: numbered_hash(F.xxhash64(name(y), j), place(y)))
-    least = F.transform(F.sequence(F.lit(1), F.lit(TUPLES)), lambda j: F.slice(F.sort_array(mixed(j)), 1, 2))
     both = lambda x, y: F.xxhash64(name(x), name(y)).bitwiseAND(F.lit(0xFFFFFFFF))
 
     def hashed(s: Column) -> Column:
         x, y = F.get(s, F.lit(0)), F.get(s, F.lit(1))
         return F.when(F.size(s) == 1, F.xxhash64(name(x)).bitwiseAND(F.lit(0xFFFFFFFF))).when(place(y) < place(x), both(y, x)).otherwise(both(x, y))
 
-    return F.transform(least, lambda s: F.when(F.size(s) > 0, hashed(s)))
+    def all_of(s: Column) -> Column:
+        mixed = lambda j: F.zip_with(s["n"], s["p"], lambda n, p: numbered_hash(F.xxhash64(n, j), p))
+        least = F.transform(F.sequence(F.lit(1), F.lit(TUPLES)), lambda j: F.slice(F.sort_array(mixed(j)), 1, 2))
+        return F.transform(least, lambda two: F.when(F.size(two) > 0, hashed(two)))
+
+    # each step is bound to a variable, or it would be made again for every hash function
+    parts = F.transform(F.array(sample), lambda s: F.struct(F.transform(s, name).alias("n"), F.transform(s, place).alias("p")))
+    return F.get(F.transform(parts, all_of), F.lit(0))
 
 
 def likeness(a: Column, b: Column) -> Column:
