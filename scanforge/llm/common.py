@@ -44,13 +44,13 @@ def new_path(spark: SparkSession, what: str) -> str:
     return path
 
 
-def pin(df: DataFrame, what: str = "table") -> DataFrame:
+def pin(df: DataFrame, what: str = "table", compression: str = "snappy") -> DataFrame:
     """Cut the lineage of ``df``: write it as Parquet in the shared folder and read it back.
 
     Unlike executor-local caching this survives the loss of any executor, and later scans keep column pruning."""
     spark = df.sparkSession
     path = new_path(spark, what)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scanforge_path = path
     return out
@@ -160,7 +160,7 @@ def ranked(df: DataFrame, group: list[str], order: list[Column], name: str = "ra
     spark = df.sparkSession
     keys = [F.col(f"`{c}`") for c in group]
     dealt = df.repartitionByRange(partitions(spark), *keys, *order).sortWithinPartitions(*keys, *order)
-    held = pin(dealt.withColumn("_run", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()), "ranked")
+    held = pin(dealt.withColumn("_run", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()), "ranked", "zstd")
     runs = held.groupBy("_run", *keys).agg(F.min("_at").alias("_low"), F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
     starts = runs.withColumn("_from", F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_low")).drop("_n", "_low")

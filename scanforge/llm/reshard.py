@@ -180,7 +180,7 @@ def rewrite_affected(placed: DataFrame, path: str) -> list[int]:
     live = placed.where(F.col("shard").isin(affected))
     # a shard is written by as many tasks as it has files, so a large one is no task of its own
     dealt = live.withColumn("_file", F.floor(F.col("slot") / FILE_ROWS)).repartition("shard", "_file").sortWithinPartitions("shard", "slot").drop("_file")
-    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", FILE_ROWS).partitionBy("shard").parquet(path)
+    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", FILE_ROWS).option("compression", "zstd").partitionBy("shard").parquet(path)
     filled = {r["shard"] for r in live.select("shard").distinct().collect()}
     for x in affected:
         if x not in filled:
