@@ -282,8 +282,8 @@ def cut_at_blanks(text: str) -> Iterator[str]:
     yield text[low:] if low else text
 
 
-#: Characters that are encoded side by side, at least one word.
-PIECE, AT_BLANK = 2_000_000, regex.compile(r"\s")
+#: Characters that are encoded side by side, at least one word; a block takes some 100 bytes of memory for each.
+PIECE, AT_BLANK = 250_000, regex.compile(r"\s")
 _keys = np.random.default_rng(23)
 BYTE_KEYS = _keys.integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 PLACE_KEYS = _keys.integers(1, 1 << 63, 1024, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -302,7 +302,7 @@ def char_kinds() -> np.ndarray:
     return out
 
 
-def blocks(texts: list[str | None], chars: int = 2_000_000) -> Iterator[list[str]]:
+def blocks(texts: list[str | None], chars: int = PIECE) -> Iterator[list[str]]:
     """Runs of whole texts (null: empty) of about ``chars`` characters."""
     held, n = [], 0
     for t in texts:

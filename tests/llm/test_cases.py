@@ -3,6 +3,7 @@
 import gzip
 import hashlib
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -194,6 +195,24 @@ def test_long_words_and_texts_have_the_library_ids(vocab, monkeypatch):
         assert enc.decode(ids) == library.decode(ids.tolist(), skip_special_tokens=False)
 
 
+def test_memory_of_encoding_does_not_grow_with_texts(vocab):
+    enc = bpe.Encoder(bpe.read_spec(vocab))
+    many = [prose(300, i) for i in range(1000)]
+    whole = [" ".join(many)]
+    enc.block(many[:1])  # tables that are made once
+    tracemalloc.start()
+    try:
+        for texts in (many, whole):
+            tracemalloc.reset_peak()
+            held = tracemalloc.get_traced_memory()[0]
+            for some in bpe.blocks(texts):
+                enc.block(some)
+            # two workers of an executor share what its heap leaves
+            assert tracemalloc.get_traced_memory()[1] - held < 64 << 20
+    finally:
+        tracemalloc.stop()
+
+
 def test_tokens_and_packing_of_odd_rows(odd, odd_rows, vocab):
     got = bpe.digests(odd, vocab).collect()
     enc = bpe.Encoder(bpe.read_spec(vocab))
